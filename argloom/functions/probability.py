@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities from an array of logits, shifted by the maximum for stability."""
-    shifted = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / total)
+    powers = let(
+        logits,
+        lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top))),
+    )
+
+    def normalised(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+        return let(total, lambda t: F.transform(e, lambda v: v / t))
+
+    return let(powers, normalised)
 
 
 def sigmoid(margin: Column) -> Column:
@@ -21,7 +33,7 @@ def sigmoid(margin: Column) -> Column:
 
 def argmax(scores: Column) -> Column:
     """Position of the largest entry, the first one on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return let(scores, lambda z: F.array_position(z, F.array_max(z)) - 1).cast("int")
 
 
 def label_of(class_id: Column, labels: Sequence[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark import Broadcast
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from argloom.functions import text as T
 from argloom.functions.linear import list_margin, nested_margins
@@ -214,7 +215,7 @@ def score_batches(
     and one column per label.
     """
     logits = predict_batch_udf(
-        make_predict_fn, return_type="array<double>", batch_size=batch_size
+        make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
     return (
         df.withColumn("_logits", logits(*[F.col(c) for c in cols]))

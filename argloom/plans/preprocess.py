@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from argloom.operators.text import clean_text, split_sentences
 from argloom.schemas import CONTENT_COLUMNS
-from argloom.sources.corpus import FILE, pending_inputs, resolve_content, scan_corpus
+from argloom.sources.corpus import FILE, resolve_content, scan_pending
 from argloom.sources.sinks import write_mirrored
 
 
@@ -24,19 +23,6 @@ def preprocess_corpus(
     return split_sentences(clean_text(content, "content"), key, "content")
 
 
-def resumable(spark: SparkSession, src: DataFrame, out: str) -> tuple[DataFrame, str]:
-    """The rows of input files that the output does not know yet, and the write mode.
-
-    Output rows carry the file they came from. Spark commits output files only
-    when a job succeeds, so a broken run leaves nothing that looks finished.
-    """
-    try:
-        done = spark.read.parquet(out)
-    except AnalysisException:
-        return src, "overwrite"
-    return pending_inputs(src, done, FILE), "append"
-
-
 def preprocess_files(
     spark: SparkSession,
     src: str,
@@ -46,6 +32,6 @@ def preprocess_files(
     glob: str = "*.parquet",
 ) -> None:
     """Sentences of every file under ``src`` not processed before, mirrored below ``out``."""
-    docs = scan_corpus(spark, src, glob=glob, merge_schema=True, skip_corrupt=True, with_file=True)
-    pending, mode = resumable(spark, docs, out)
-    write_mirrored(preprocess_corpus(pending, [id_col, FILE, *by]), out, by, mode)
+    docs = scan_pending(spark, src, out, glob)
+    if docs is not None:
+        write_mirrored(preprocess_corpus(docs, [id_col, FILE, *by]), out, by, mode="append")

@@ -8,8 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from argloom.operators.scoring import LinearModel, detect_sentences
-from argloom.plans.preprocess import resumable
-from argloom.sources.corpus import FILE, scan_corpus
+from argloom.sources.corpus import scan_pending
 from argloom.sources.sinks import write_mirrored
 
 
@@ -28,6 +27,6 @@ def score_files(
     by: Sequence[str] = (),
 ) -> None:
     """Score the sentence files under ``src`` that were not scored before."""
-    sentences = scan_corpus(spark, src, skip_corrupt=True, with_file=True)
-    pending, mode = resumable(spark, sentences, out)
-    write_mirrored(score_corpus(pending, model), out, by, mode)
+    sentences = scan_pending(spark, src, out)
+    if sentences is not None:
+        write_mirrored(score_corpus(sentences, model), out, by, mode="append")

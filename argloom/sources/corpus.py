@@ -71,11 +71,38 @@ def failed_inputs(expected: DataFrame, seen: DataFrame, key: str = FILE) -> Data
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Paths and sizes of all files under a tree; contents are not read."""
+    """Every file under a tree, one row each; contents are not read.
+
+    ``source_file`` is spelled as in the rows a scan yields, ``path`` as a
+    reader takes it.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("path").alias(FILE), "length")
+    return reader.load(path).select(F.col("_metadata.file_path").alias(FILE), "path", "length")
+
+
+def scan_pending(
+    spark: SparkSession, src: str, out: str, glob: str = "*.parquet"
+) -> DataFrame | None:
+    """Rows of the input files that the output at ``out`` does not know; None if all are done.
+
+    The difference is taken between file lists, and only the missing files are
+    opened. Output rows carry the file they came from, and a write becomes
+    visible when its job commits, so a broken run leaves nothing that looks done.
+    """
+    files = list_files(spark, src, glob)
+    try:
+        files = pending_inputs(files, spark.read.parquet(out), FILE)
+    except AnalysisException:
+        pass  # nothing written yet
+    # One path per file, which the driver holds for any scan.
+    paths = [row.path for row in files.select("path").collect()]
+    if not paths:
+        return None
+    reader = spark.read.option("basePath", src).option("mergeSchema", True)
+    df = reader.option("ignoreCorruptFiles", True).parquet(*paths)
+    return df.withColumn(FILE, F.col("_metadata.file_path"))
 
 
 def relative_path(df: DataFrame, root: str, col: str = FILE, out: str = "relative_path") -> DataFrame:

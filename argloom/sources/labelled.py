@@ -34,7 +34,7 @@ def scan_labelled(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFr
     )
     tables = []
     for row in headers:
-        names = [name.strip("﻿\r") for name in row.header.split("\t")]
+        names = [name.strip("\ufeff\r") for name in row.header.split("\t")]
         schema = ", ".join(f"`{name}` STRING" for name in names)
         tables.append(
             spark.read.option("sep", "\t")
