@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argloom.functions import probability as P, text as T
+from argloom.functions.arrays import items
 from argloom.operators import (
     documents as D,
     evaluate as E,
@@ -539,7 +540,7 @@ def assemble_sentences(spark, sf):
 
 
 def assemble_relations(spark, sf):
-    listed = _mined(spark, sf).select("doc_id", F.posexplode("relations").alias("place", "r"))
+    listed = items(_mined(spark, sf), ["doc_id"], "relations", "r", "place")
     return listed.select("doc_id", "place", "r.source", "r.target", "r.type")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from argloom.functions import text as T
+from argloom.functions.arrays import items
 from argloom.functions.linear import list_margin, nested_margins
 from argloom.functions.probability import argmax, label_of, sigmoid, softmax
 from argloom.operators.training import MICRO
@@ -115,36 +116,39 @@ def score_linear(
 
     Works for weight tables of any size. The most frequent words, which would
     make hot join keys, are a table of at most ``frequent`` rows and are
-    broadcast; the long tail is joined on (word, salt). Repeats of a word in a
-    sentence are counted before the join, and sums are started before the last
-    shuffle. ``weights`` needs ``token``, ``weight``, ``n_pos`` and ``n_neg``.
+    broadcast; a sentence's sum over them is one row before the first shuffle.
+    The long tail is joined on (word, salt). ``weights`` needs ``token``,
+    ``weight``, ``n_pos`` and ``n_neg``.
     """
-    size = weights.select("token", "weight", (F.col("n_pos") + F.col("n_neg")).alias("n"))
-    head = size.orderBy(F.desc("n"), "token").limit(frequent)
-    head = materialize(head.select("token", "weight"), "head")
-    words = df.select(*key, F.explode(tokens).alias("token"))
-    known = words.join(
-        F.broadcast(head.select("token", F.col("weight").alias("head_weight"))), "token", "left"
+    seen = F.col("n_pos") + F.col("n_neg")
+    head = weights.orderBy(F.desc(seen), "token").limit(frequent)
+    head = materialize(head.select("token", F.col("weight").alias("head")), "head")
+    tail = (
+        weights.join(F.broadcast(head.select("token")), "token", "left_anti")
+        .select("token", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .withColumn("salt", F.col("salt").cast("bigint"))
     )
-    common = known.where(F.col("head_weight").isNotNull()).select(
-        *key, F.col("head_weight").alias("weight"), F.lit(1).cast("bigint").alias("n")
-    )
-    rare = (
-        known.where(F.col("head_weight").isNull())
-        .withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
+    rare = F.col("head").isNull()
+    spot = F.xxhash64(*key)
+    words = items(df, key, tokens, "token").join(F.broadcast(head), "token", "left")
+    counted = (
+        words.select(
+            *key,
+            "head",
+            F.when(rare, F.col("token")).alias("token"),
+            F.when(rare, F.pmod(spot, F.lit(salts))).otherwise(spot).alias("salt"),
+        )
         .groupBy(*key, "token", "salt")
-        .agg(F.count("*").alias("n"))
-    )
-    tail = weights.join(F.broadcast(head.select("token")), "token", "left_anti").select(
-        "token", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        .agg(F.sum("head").alias("head"), F.count("*").alias("n"))
     )
-    rare = rare.join(tail, ["token", "salt"]).select(
-        *key, (F.col("weight") * F.col("n")).alias("weight"), "n"
-    )
-    sums = common.unionByName(rare).groupBy(*key).agg(
-        F.sum("weight").alias("score"), F.sum("n").alias("n_known")
+    weight = F.coalesce(F.col("head"), F.col("weight") * F.col("n"))
+    return (
+        counted.join(tail, ["token", "salt"], "left")
+        .select(*key, weight.alias("weight"), F.when(weight.isNotNull(), F.col("n")).alias("n"))
+        .groupBy(*key)
+        .agg(F.sum("weight").alias("score"), F.sum("n").alias("n_known"))
+        .where("n_known > 0")
     )
-    return sums
 
 
 def detect_sentences(

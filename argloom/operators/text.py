@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from argloom.functions import text as T
+from argloom.functions.arrays import items
 
 
 def _names(key: str | Sequence[str]) -> list[str]:
@@ -52,9 +53,8 @@ def flatten_sentences(
     df: DataFrame, key: str | Sequence[str], col: str = "sentences"
 ) -> DataFrame:
     """Rows of ``(key, sent_idx, sentence fields)`` from nested documents."""
-    return df.select(*_names(key), F.posexplode(col).alias("sent_idx", "sentence")).select(
-        *_names(key), "sent_idx", "sentence.*"
-    )
+    rows = items(df, _names(key), col, "sentence", "sent_idx")
+    return rows.select(*_names(key), "sent_idx", "sentence.*")
 
 
 def span_text(

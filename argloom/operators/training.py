@@ -10,6 +10,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.sql import DataFrame, functions as F, Window
 
 from argloom.functions import text as T
+from argloom.functions.arrays import items
 from argloom.operators.sampling import balance_classes
 from argloom.schemas import NOT_ARGUMENTATIVE
 from argloom.session import materialize
@@ -56,7 +57,7 @@ def prepare_splits(
 def word_counts(df: DataFrame, tokens: str = "tokens", label: str = "label") -> DataFrame:
     """Occurrences of every word, in class 1 and in class 0."""
     return (
-        df.select(F.explode(tokens).alias("token"), F.col(label).alias("label"))
+        items(df, [F.col(label).alias("label")], tokens, "token")
         .groupBy("token")
         .agg(
             F.count_if(F.col("label") == 1).alias("n_pos"),
@@ -73,7 +74,7 @@ def train_log_odds(
     ``weight`` holds millionths as a whole number: sums of weights are then the
     same in any order, on any number of machines.
     """
-    counts = word_counts(df, tokens, label)
+    counts = materialize(word_counts(df, tokens, label), "counts")
     pos = counts.select(F.sum("n_pos")).scalar()
     neg = counts.select(F.sum("n_neg")).scalar()
     words = counts.select(F.count("*")).scalar()
@@ -92,7 +93,7 @@ def fit_vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     Sorted ranges are numbered on their own and shifted by the sizes of the
     ranges before them, so no task has to see the whole vocabulary.
     """
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = items(df, [], tokens, "token").groupBy("token").agg(F.count("*").alias("n"))
     ranged = materialize(
         counts.repartitionByRange(F.desc("n"), F.asc("token")).withColumn(
             "part", F.spark_partition_id()
