@@ -126,15 +126,15 @@ pairs AS (SELECT a.doc_id, a.arg_idx AS source, b.arg_idx AS target, a.sent_idx
 
 
 NEGATIONS = "['not', 'no', 'never', 'nicht', 'kein', 'nie', 'pas', 'non', 'jamais', 'sin', 'nunca']"
-# Class, weights of overlap, length ratio, gap and negation, bias.
+# Class, weights of gap, overlap, length ratio and negation, bias.
 CLASSES = (
-    ("none", -2.0, 0.0, 0.25, 0.0, 0.0),
-    ("inference", 3.0, 0.5, -0.25, -0.5, 0.25),
-    ("conflict", 1.0, 0.25, -0.125, 2.0, -0.5),
-    ("rephrase", 6.0, 1.0, -0.5, -1.0, -1.5),
+    ("none", 0.25, -2.0, 0.0, 0.0, 0.0),
+    ("inference", -0.25, 3.0, 0.5, -0.5, 0.25),
+    ("conflict", -0.125, 1.0, 0.25, 2.0, -0.5),
+    ("rephrase", -0.5, 6.0, 1.0, -1.0, -1.5),
 )
 _LOGITS = ", ".join(
-    f"({bias}::DOUBLE + {a}::DOUBLE * overlap + {b}::DOUBLE * ratio + {c}::DOUBLE * gap + {d}::DOUBLE * neg)"
+    f"({bias}::DOUBLE + {a}::DOUBLE * gap + {b}::DOUBLE * overlap + {c}::DOUBLE * ratio + {d}::DOUBLE * neg)"
     f" AS z{i}"
     for i, (_, a, b, c, d, bias) in enumerate(CLASSES)
 )
@@ -376,9 +376,9 @@ ORACLE: dict[str, str] = {
         per_edge AS (SELECT doc_id, count(*) AS n_relations, sum(source_sent * 31 + target_sent) AS fingerprint,
           sum((type = 'conflict')::INTEGER) AS n_conflicts FROM edges GROUP BY doc_id)
         SELECT d.doc_id, lang, coalesce(n_sentences, 0)::INTEGER AS n_sentences,
-          coalesce(n_arguments, 0)::INTEGER AS n_arguments, coalesce(n_claims, 0)::INTEGER AS n_claims,
-          coalesce(n_relations, 0)::INTEGER AS n_relations, coalesce(fingerprint, 0)::INTEGER AS fingerprint,
-          coalesce(n_conflicts, 0)::INTEGER AS n_conflicts
+          coalesce(n_arguments, 0)::BIGINT AS n_arguments, coalesce(n_claims, 0)::BIGINT AS n_claims,
+          coalesce(n_relations, 0)::INTEGER AS n_relations, coalesce(fingerprint, 0)::BIGINT AS fingerprint,
+          coalesce(n_conflicts, 0)::BIGINT AS n_conflicts
         FROM documents d LEFT JOIN per_sent USING (doc_id) LEFT JOIN per_edge USING (doc_id)""",
     "train_detector": LONG_METRICS,
 }

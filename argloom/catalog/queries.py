@@ -708,7 +708,7 @@ def mine_arguments_query(spark, sf):
     """The whole graph of every document, summed up in its own row."""
 
     def total(col: str, value) -> Column:
-        return F.aggregate(col, F.lit(0), lambda acc, x: acc + value(x))
+        return F.aggregate(col, F.lit(0).cast("bigint"), lambda acc, x: acc + value(x))
 
     return _mined(spark, sf, "lang").select(
         "doc_id",

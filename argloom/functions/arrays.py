@@ -1,12 +1,17 @@
-"""Array items as rows."""
+"""Helpers around arrays: values computed once, items as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def items(
     df: DataFrame, keep: Sequence[str | Column], array: str, item: str = "item", place: str = "place"
 ) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
+from argloom.functions.arrays import let
 
 
 def softmax(logits: Column) -> Column:

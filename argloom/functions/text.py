@@ -10,14 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from argloom.functions.arrays import let
+
 # The patterns that define cleaning and sentence boundaries.
 TAG = r"<[^>]+>"
 HTML = r"(?is)<!--.*?-->|<(script|style)\b.*?</(?:script|style)\s*>|<[^>]+>"
 WHITESPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 SENTENCE_END = r"""([.!?]["')\]}]*) """
 ELLIPSIS = r"""\.\.["')\]}]*"""
-INITIAL = r"""(?<![\p{L}\p{N}])\p{L}\.(?= [\p{L};:,.!?])"""
-NUMBER = r"""(?<![^ ])-?[.,]?[0-9][0-9,.\-]*\.(?= [\p{Ll};:,.!?])"""
+INITIAL = r"""\p{L}\.(?<![\p{L}\p{N}]\p{L}\.)(?= [\p{L};:,.!?])"""
+NUMBER = r"""(?=[-.,0-9])(?<![^ ])-?[.,]?[0-9][0-9,.\-]*\.(?= [\p{Ll};:,.!?])"""
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 ENTITIES = (
     ("&nbsp;", " "),
@@ -35,9 +37,8 @@ SENTENCE_TYPE = "struct<text:string,start_index:bigint,end_index:bigint>"
 
 _BREAK = "\x01"
 _JOINED = "\x02"
-# Sentences per inner list while offsets are accumulated; keeps the copying of
-# a growing list linear in the number of sentences.
-_RUN = 256
+# Offsets per run while they are accumulated.
+_RUN = 32
 
 
 def _plain(text: Column) -> Column:
@@ -83,34 +84,44 @@ def sentence_texts(clean: Column) -> Column:
     return F.filter(F.split(marked, _BREAK), lambda piece: piece != "")
 
 
-def sentence_spans(clean: Column) -> Column:
-    """Array of (text, start_index, end_index); code points from 0, end exclusive."""
+def _starts(texts: Column) -> Column:
+    """Offset of every sentence: the lengths before it, and one blank each.
+
+    Offsets are gathered in short runs, since appending copies the run.
+    """
     zero = F.struct(
-        F.array().cast(f"array<array<{SENTENCE_TYPE}>>").alias("runs"),
-        F.array().cast(f"array<{SENTENCE_TYPE}>").alias("run"),
+        F.array().cast("array<array<bigint>>").alias("runs"),
+        F.array().cast("array<bigint>").alias("run"),
         F.lit(0).cast("bigint").alias("at"),
     )
 
     def step(acc: Column, text: Column) -> Column:
-        end = acc["at"] + F.length(text)
-        span = F.struct(
-            text.alias("text"), acc["at"].alias("start_index"), end.alias("end_index")
-        )
         full = F.size(acc["run"]) >= _RUN
+        here = F.array(acc["at"])
         return F.struct(
             F.when(full, F.array_append(acc["runs"], acc["run"]))
             .otherwise(acc["runs"])
             .alias("runs"),
-            F.when(full, F.array(span)).otherwise(F.array_append(acc["run"], span)).alias("run"),
-            (end + 1).alias("at"),
+            F.when(full, here).otherwise(F.concat(acc["run"], here)).alias("run"),
+            (acc["at"] + F.length(text) + 1).alias("at"),
         )
 
-    spans = F.aggregate(
-        sentence_texts(clean),
-        zero,
-        step,
-        lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])),
+    return F.aggregate(
+        texts, zero, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"]))
     )
+
+
+def sentence_spans(clean: Column) -> Column:
+    """Array of (text, start_index, end_index); code points from 0, end exclusive."""
+
+    def span(text: Column, start: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            start.alias("start_index"),
+            (start + F.length(text)).alias("end_index"),
+        )
+
+    spans = let(sentence_texts(clean), lambda texts: F.zip_with(texts, _starts(texts), span))
     return F.coalesce(spans, F.array().cast(f"array<{SENTENCE_TYPE}>"))
 
 

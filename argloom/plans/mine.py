@@ -20,5 +20,5 @@ def mine_arguments(
 ) -> DataFrame:
     """All input columns plus ``sentences`` and ``relations``; both empty where nothing is found."""
     nested = nest_sentences(docs, content)
-    scored = score_nested(nested, detector, components)
+    scored = score_nested(nested, detector, components, keep_words=True)
     return relate_nested(scored, relations, window)
