@@ -95,7 +95,8 @@ def _labelled(spark: SparkSession, sf: str, label: str = "quality") -> DataFrame
 
 
 def _balanced(spark: SparkSession, sf: str, label: str) -> DataFrame:
-    return materialize(M.prepare_splits(_labelled(spark, sf, label), KEY, balance=True), "splits")
+    labelled = materialize(_labelled(spark, sf, label), "labelled")
+    return materialize(M.prepare_splits(labelled, KEY, balance=True), "splits")
 
 
 @_once
@@ -472,7 +473,8 @@ def classify_components(spark, sf):
 
 def _classified(spark, sf):
     args = L.add_profile(_args(spark, sf))
-    return L.classify_relations(R.windowed_pairs(args, "doc_id", WINDOW, carry=L.PROFILE))
+    pairs = R.windowed_pairs(args, "doc_id", WINDOW, carry=L.PROFILE, ordered=False)
+    return R.mirror_pairs(L.classify_relations(pairs))
 
 
 def classify_relations(spark, sf):
@@ -614,7 +616,8 @@ def train_log_odds(spark, sf):
 
 
 def prepare_splits(spark, sf):
-    return M.prepare_splits(_labelled(spark, sf), KEY, balance=True).select(*KEY, "label", "set")
+    labelled = materialize(_labelled(spark, sf), "labelled")
+    return M.prepare_splits(labelled, KEY, balance=True).select(*KEY, "label", "set")
 
 
 def _metrics(df: DataFrame, *by: str) -> DataFrame:
@@ -645,7 +648,8 @@ def evaluate_splits(spark, sf):
 def _ml_detector(spark, sf):
     splits = _argument_splits(spark, sf)
     model, _ = M.train_classifier(
-        M.select_split(splits, "train"), M.select_split(splits, "val"), reg_params=(0.01, 0.1)
+        M.select_split(splits, "train"), M.select_split(splits, "val"),
+        reg_params=(0.01, 0.1), size=1 << 14,
     )
     return K.load_or_train(_model_path(spark, "classifier"), lambda: model)
 

@@ -43,8 +43,8 @@ def train_detector(
     regression, choosing among ``reg_params`` by validation F1.
     """
     key = [key] if isinstance(key, str) else list(key)
-    rows = prepare_splits(labelled, key, balance, seed).select(*key, text, "label", "set")
-    rows = materialize(rows, "labelled")
+    kept = materialize(labelled.select(*key, text, "annotation", "set"), "labelled")
+    rows = prepare_splits(kept, key, balance, seed)
     train = select_split(rows, "train")
     if kind == "linear":
         words = tokenize(train.select(text, "label"), text)
