@@ -9,8 +9,22 @@ from pyspark.sql import Column, functions as F
 from argloom.functions.arrays import let
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities from an array of logits, shifted by the maximum for stability."""
+def softmax(logits: Column, classes: int | None = None) -> Column:
+    """Probabilities from an array of logits, shifted by the maximum for stability.
+
+    With the number of classes known the sums are written out, which is faster.
+    """
+    if classes is not None:
+        top = F.array_max(logits)
+        powers = F.array(*[F.exp(logits[i] - top) for i in range(classes)])
+
+        def shares(e: Column) -> Column:
+            total = e[0]
+            for i in range(1, classes):
+                total = total + e[i]
+            return F.array(*[e[i] / total for i in range(classes)])
+
+        return let(powers, shares)
     powers = let(
         logits,
         lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top))),
@@ -30,7 +44,7 @@ def sigmoid(margin: Column) -> Column:
 
 def argmax(scores: Column) -> Column:
     """Position of the largest entry, the first one on ties."""
-    return let(scores, lambda z: F.array_position(z, F.array_max(z)) - 1).cast("int")
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
 def label_of(class_id: Column, labels: Sequence[str]) -> Column:

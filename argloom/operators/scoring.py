@@ -223,7 +223,7 @@ def score_batches(
     )
     return (
         df.withColumn("_logits", logits(*[F.col(c) for c in cols]))
-        .withColumn("probs", softmax(F.col("_logits")))
+        .withColumn("probs", softmax(F.col("_logits"), len(labels)))
         .withColumn("pred_id", argmax(F.col("_logits")))
         .withColumn("pred", label_of(F.col("pred_id"), labels))
         .drop("_logits")

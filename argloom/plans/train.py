@@ -43,7 +43,8 @@ def train_detector(
     regression, choosing among ``reg_params`` by validation F1.
     """
     key = [key] if isinstance(key, str) else list(key)
-    kept = materialize(labelled.select(*key, text, "annotation", "set"), "labelled")
+    columns = dict.fromkeys([*key, text, "annotation", "set"])
+    kept = materialize(labelled.select(*columns), "labelled")
     rows = prepare_splits(kept, key, balance, seed)
     train = select_split(rows, "train")
     if kind == "linear":

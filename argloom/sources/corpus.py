@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from argloom.schemas import CONTENT_COLUMNS
 
@@ -118,3 +118,9 @@ def run_report(df: DataFrame, by: str | Sequence[str] = FILE) -> DataFrame:
     """Rows per input, for the log of a run."""
     by = [by] if isinstance(by, str) else list(by)
     return df.groupBy(*by).agg(F.count("*").alias("rows"))
+
+
+def observe_rows(df: DataFrame, name: str = "report") -> tuple[DataFrame, Observation]:
+    """The same rows, counted on the way: ``observation.get["rows"]`` after any action."""
+    observation = Observation(name)
+    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
