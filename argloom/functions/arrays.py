@@ -12,6 +12,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _running(values: Column) -> Column:
+    """0 and the running sums of a short array. Each step copies the list so far."""
+    zero = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(
+        values, zero, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    )
+
+
+def sums_before(values: Column, levels: int = 2, run: int = 32) -> Column:
+    """For every number of an array, the sum of those before it.
+
+    Sums run over short pieces, and the totals of the pieces are summed the
+    same way, so that the work stays in proportion to the length of the array.
+    """
+    if levels == 0:
+        return let(_running(values), lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1))
+
+    def pieces(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(run)))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: _running(F.slice(v, at, F.lit(run))))
+
+    def shifted(piece: Column, base: Column) -> Column:
+        inner = F.slice(piece, F.lit(1), F.size(piece) - 1)
+        return F.transform(inner, lambda sum_before: sum_before + base)
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda piece: F.element_at(piece, -1))
+        bases = sums_before(totals, levels - 1, run)
+        return F.flatten(F.zip_with(parts, bases, shifted))
+
+    return let(let(values, pieces), joined)
+
+
 def items(
     df: DataFrame, keep: Sequence[str | Column], array: str, item: str = "item", place: str = "place"
 ) -> DataFrame:

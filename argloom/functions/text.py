@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from argloom.functions.arrays import let
+from argloom.functions.arrays import let, sums_before
 
 # The patterns that define cleaning and sentence boundaries.
 TAG = r"<[^>]+>"
@@ -37,8 +37,6 @@ SENTENCE_TYPE = "struct<text:string,start_index:bigint,end_index:bigint>"
 
 _BREAK = "\x01"
 _JOINED = "\x02"
-# Offsets per run while they are accumulated.
-_RUN = 32
 
 
 def _plain(text: Column) -> Column:
@@ -84,33 +82,6 @@ def sentence_texts(clean: Column) -> Column:
     return F.filter(F.split(marked, _BREAK), lambda piece: piece != "")
 
 
-def _starts(texts: Column) -> Column:
-    """Offset of every sentence: the lengths before it, and one blank each.
-
-    Offsets are gathered in short runs, since appending copies the run.
-    """
-    zero = F.struct(
-        F.array().cast("array<array<bigint>>").alias("runs"),
-        F.array().cast("array<bigint>").alias("run"),
-        F.lit(0).cast("bigint").alias("at"),
-    )
-
-    def step(acc: Column, text: Column) -> Column:
-        full = F.size(acc["run"]) >= _RUN
-        here = F.array(acc["at"])
-        return F.struct(
-            F.when(full, F.array_append(acc["runs"], acc["run"]))
-            .otherwise(acc["runs"])
-            .alias("runs"),
-            F.when(full, here).otherwise(F.concat(acc["run"], here)).alias("run"),
-            (acc["at"] + F.length(text) + 1).alias("at"),
-        )
-
-    return F.aggregate(
-        texts, zero, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"]))
-    )
-
-
 def sentence_spans(clean: Column) -> Column:
     """Array of (text, start_index, end_index); code points from 0, end exclusive."""
 
@@ -121,7 +92,11 @@ def sentence_spans(clean: Column) -> Column:
             (start + F.length(text)).alias("end_index"),
         )
 
-    spans = let(sentence_texts(clean), lambda texts: F.zip_with(texts, _starts(texts), span))
+    def placed(texts: Column) -> Column:
+        sizes = F.transform(texts, lambda text: (F.length(text) + 1).cast("bigint"))
+        return F.zip_with(texts, sums_before(sizes), span)
+
+    spans = let(sentence_texts(clean), placed)
     return F.coalesce(spans, F.array().cast(f"array<{SENTENCE_TYPE}>"))
 
 

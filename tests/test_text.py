@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from argloom.functions import text as T
+from argloom.functions.arrays import sums_before
 from argloom.operators import text as X
 
 GOLDEN = [
@@ -108,8 +109,8 @@ def test_split_agrees_with_plain_python(spark):
 
 
 def test_long_document_spans(spark):
-    """Thousands of sentences in one row: offsets stay exact across runs."""
-    sentences = [f"Sentence number {'x' * (1 + i % 17)} ends here." for i in range(5000)]
+    """Tens of thousands of sentences in one row: exact offsets, in linear time."""
+    sentences = [f"Sentence number {'x' * (1 + i % 17)} ends here." for i in range(40_000)]
     df = spark.createDataFrame([(1, " ".join(sentences))], "id INT, raw STRING")
     rows = X.split_sentences(X.clean_text(df, "raw"), "id", "raw").orderBy("sent_idx").collect()
     assert [r.text for r in rows] == sentences
@@ -119,6 +120,16 @@ def test_long_document_spans(spark):
         at += len(sentences[i]) + 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 33, 64, 1023, 1024, 1025, 5000])
+def test_sums_before(spark, n):
+    values = [random.Random(n).randint(0, 99) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<bigint>")
+    want = [sum(values[:i]) for i in range(n)]
+    for levels in (0, 1, 2):
+        if levels or n < 100:
+            assert df.select(sums_before(F.col("v"), levels)).first()[0] == want
+
+
 def test_many_open_brackets_are_linear(spark):
     raw = "a. " + "<" * 300_000 + " b."
     df = spark.createDataFrame([(1, raw)], "id INT, raw STRING")
