@@ -94,8 +94,10 @@ def balance_classes(
 def shuffle_rows(df: DataFrame, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Rows in a seeded random order.
 
-    Copies of one key are ordered among themselves by a second random number,
-    so that a much-repeated key still spreads over many output partitions.
+    Copies of one key are ordered among themselves by a number written down
+    beforehand: a much-repeated key then spreads over many output partitions,
+    and a repeated task finds the same order again.
     """
     key = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(seeded_rank(key, seed), F.rand(seed))
+    rows = materialize(df.withColumn("_copy", F.monotonically_increasing_id()), "shuffle")
+    return rows.orderBy(seeded_rank(key, seed), seeded_rank(["_copy"], seed)).drop("_copy")
