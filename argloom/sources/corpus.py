@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -71,19 +73,21 @@ def failed_inputs(expected: DataFrame, seen: DataFrame, key: str = FILE) -> Data
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Every file under a tree, one row each; contents are not read.
+    """Every file under a tree, one row each, from the listing alone: no file is opened.
 
-    ``source_file`` is spelled as in the rows a scan yields, ``path`` as a
-    reader takes it.
+    ``source_file`` is spelled as in the rows of a scan, ``path`` as a reader
+    takes it. The driver holds this list for any scan of the tree.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("_metadata.file_path").alias(FILE), "path", "length")
+    uris = reader.load(path).inputFiles()
+    rows = [(re.sub("^file:/+", "file:/", uri), unquote(uri)) for uri in uris]
+    return spark.createDataFrame(rows, f"{FILE} STRING, path STRING")
 
 
 def scan_pending(
-    spark: SparkSession, src: str, out: str, glob: str = "*.parquet"
+    spark: SparkSession, src: str, out: str, glob: str = "*.parquet", merge_schema: bool = True
 ) -> DataFrame | None:
     """Rows of the input files that the output at ``out`` does not know; None if all are done.
 
@@ -91,16 +95,17 @@ def scan_pending(
     opened. Output rows carry the file they came from, and a write becomes
     visible when its job commits, so a broken run leaves nothing that looks done.
     """
-    files = list_files(spark, src, glob)
     try:
-        files = pending_inputs(files, spark.read.parquet(out), FILE)
-    except AnalysisException:
-        pass  # nothing written yet
-    # One path per file, which the driver holds for any scan.
-    paths = [row.path for row in files.select("path").collect()]
+        done = spark.read.parquet(out)
+    except AnalysisException:  # nothing written yet
+        return scan_corpus(
+            spark, src, glob, merge_schema=merge_schema, skip_corrupt=True, with_file=True
+        )
+    pending = pending_inputs(list_files(spark, src, glob), done, FILE)
+    paths = [row.path for row in pending.select("path").collect()]
     if not paths:
         return None
-    reader = spark.read.option("basePath", src).option("mergeSchema", True)
+    reader = spark.read.option("basePath", src).option("mergeSchema", merge_schema)
     df = reader.option("ignoreCorruptFiles", True).parquet(*paths)
     return df.withColumn(FILE, F.col("_metadata.file_path"))
 

@@ -74,11 +74,13 @@ def test_resume_processes_each_file_once(spark, folder):
     preprocess_files(spark, src, out, by=["language"])
     preprocess_files(spark, src, out, by=["language"])
     assert spark.read.parquet(out).count() == 4
-    more = documents(spark, [(9, "Nine. Ten ten. Eleven.", "eng")])
+    more = documents(spark, [(9, "Nine. Ten ten.", "eng"), (10, "Eleven.", "a b%c")])
     W.write_mirrored(more, src, ["language"], mode="append")
-    preprocess_files(spark, src, out, by=["language"])
+    for _ in range(2):
+        preprocess_files(spark, src, out, by=["language"])
     rows = spark.read.parquet(out)
-    assert rows.count() == 7 and rows.where("language = 'eng'").count() == 5
+    assert rows.count() == 7 and rows.where("language = 'eng'").count() == 4
+    assert rows.where("language = 'a b%c'").count() == 1
     model = LinearModel(spark.createDataFrame([("two", 5)], "token STRING, weight BIGINT"))
     score_files(spark, out, scored, model, by=["language"])
     score_files(spark, out, scored, model, by=["language"])
