@@ -30,7 +30,7 @@ from argloom.plans.mine import mine_arguments
 from argloom.plans.preprocess import preprocess_corpus, preprocess_files
 from argloom.plans.score import score_corpus
 from argloom.plans.train import train_detector
-from argloom.schemas import COMPONENT_LABELS
+from argloom.schemas import COMPONENT_LABELS, STANCE_LABELS
 from argloom.session import materialize, scratch_path, spread
 from argloom.sources import corpus as O, models as K, sinks as W
 from argloom.sources.labelled import scan_labelled
@@ -452,7 +452,7 @@ def argmax(spark, sf):
 
 
 def label_of(spark, sf):
-    label = P.label_of(P.argmax(F.col("logits")), ["neither", "support", "attack"])
+    label = P.label_of(P.argmax(F.col("logits")), STANCE_LABELS)
     return _logits(spark, sf).select(*KEY, label.alias("label"))
 
 

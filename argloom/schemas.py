@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-# Schemas as DDL, for readers and streams that must not infer them.
-SENTENCES = "id BIGINT, sent_idx INT, text STRING, start_index BIGINT, end_index BIGINT"
+# Schema as DDL, for readers that must not infer it.
 METRICS = "`set` STRING, metric STRING, value DOUBLE"
 
-# Class names by class id, the label of non-arguments, split and column names.
+# Class names by class id, the label of non-arguments, content columns.
 COMPONENT_LABELS = ("premise", "claim")
 RELATION_LABELS = ("none", "inference", "conflict", "rephrase")
 STANCE_LABELS = ("neither", "support", "attack")
 NULL_RELATIONS = ("none", "neither")
 NOT_ARGUMENTATIVE = "NoArgument"
-SPLITS = ("train", "val", "test")
 CONTENT_COLUMNS = ("main_content", "plain_text")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from argloom.schemas import METRICS
 
 
 def write_mirrored(
@@ -68,8 +70,6 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> Non
     metrics.write.mode(mode).json(path)
 
 
-def read_metrics(spark, path: str) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Read a metrics table back."""
-    from argloom.schemas import METRICS
-
     return spark.read.schema(METRICS).json(path)

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from argloom.operators import evaluate as E, sampling as S, training as M
 from argloom.plans.train import train_detector
