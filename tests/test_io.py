@@ -136,12 +136,6 @@ def test_run_report(spark, folder):
     assert sum(r.rows for r in report.collect()) == 3
 
 
-def test_rows_are_counted_on_the_way(spark, folder):
-    counted, report = O.observe_rows(documents(spark))
-    counted.write.parquet(f"{folder}/x")
-    assert report.get == {"rows": 3}
-
-
 def test_stream_takes_new_files_once(spark, folder):
     src, dst, mark = f"{folder}/in", f"{folder}/out", f"{folder}/mark"
     schema = "id INT, main_content STRING, language STRING"
