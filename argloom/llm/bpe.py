@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from argloom.llm.words import distinct, mix, sums
+from argloom.llm.words import buffers, distinct, mix, per_row, row_groups, sums
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Code points that go through the arrays at once, and known pre-tokens after which the memory starts afresh.
@@ -226,17 +227,19 @@ class ByteBpe:
         return seen[starts] - inside - base, seen[ends] - base, inside
 
 
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Rows of a text column in ranges of about a block of bytes: first, last-exclusive, texts."""
+    bounds = buffers(column)[1]
+    for a, z in row_groups(bounds, BLOCK):
+        yield a, z, ["" if t is None else t for t in column.slice(a, z - a).to_pylist()]
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> ByteBpe:
     """The tokenizer of a file, once per Python worker."""
     return ByteBpe(path)
 
 
-_ENCODED = pa.schema(
-    [("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-)
-
-
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
 
@@ -251,10 +254,13 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            ids, bounds = bpe.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
-            starts, ends, _ = bpe.offsets(ids, bounds)
-            columns = [_lists(c, bounds) for c in (ids, starts, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *_ENCODED.names])
+            for a, z, texts in text_blocks(batch.column(1)):
+                ids, bounds = bpe.encode(texts)
+                starts, ends, _ = bpe.offsets(ids, bounds)
+                columns = [_lists(c, bounds) for c in (ids, starts, ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, z - a), *columns], names=[key, "ids", "starts", "ends"]
+                )
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>"
@@ -293,22 +299,19 @@ def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            ids, bounds = bpe.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
-            data, of_row = bpe.decode(ids, bounds)
-            ends = np.cumsum(bpe.sizes[ids])
-            lead = (data & 0xC0) != 0x80
-            inside = ~lead[ends - bpe.sizes[ids]] if len(ids) else np.zeros(0, bool)
-            raw, data = ids.astype("<u4").tobytes(), data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(bounds)),
-                    pa.array([sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])], pa.string()),
-                    pa.array([sha256(data[a:b]).hexdigest() for a, b in zip(of_row[:-1], of_row[1:])], pa.string()),
-                    pa.array(sums(inside.astype(np.int64), bounds)),
-                ],
-                names=names,
-            )
+            for first, last, texts in text_blocks(batch.column(1)):
+                ids, bounds = bpe.encode(texts)
+                data, of_row = bpe.decode(ids, bounds)
+                ends = np.cumsum(bpe.sizes[ids])
+                lead = (data & 0xC0) != 0x80
+                inside = ~lead[ends - bpe.sizes[ids]] if len(ids) else np.zeros(0, bool)
+                raw, data = ids.astype("<u4").tobytes(), data.tobytes()
+                of_ids = [sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
+                of_data = [sha256(data[a:b]).hexdigest() for a, b in zip(of_row[:-1], of_row[1:])]
+                columns = [np.diff(bounds), of_ids, of_data, per_row(inside, bounds)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), *map(pa.array, columns)], names=names
+                )
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint"
