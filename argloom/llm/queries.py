@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from argloom.llm import bpe, packing, quality, topk
+from argloom.llm import bpe, jaccard, packing, quality, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(_table(spark, folder, "documents"))
 
 
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_table(spark, folder, "documents"), path)
@@ -32,6 +36,7 @@ def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality_rules,
+    "op2_ngram_jaccard_join": ngram_jaccard_join,
     "op6_best_fit_packing": best_fit_packing,
     "op9_exact_top_k": exact_top_k,
     "op10_byte_level_bpe": byte_level_bpe,
