@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, packing, quality, topk
+from argloom.llm import bpe, jaccard, packing, quality, secrets, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources stand in for owners, and a source's documents of one language for a repository."""
+    documents = _table(spark, folder, "documents")
+    found = secrets.scan(documents, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return secrets.digest(found)
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_table(spark, folder, "documents"), path)
@@ -37,6 +44,7 @@ def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_jaccard_join": ngram_jaccard_join,
+    "op3_secret_scan": secret_scan,
     "op6_best_fit_packing": best_fit_packing,
     "op9_exact_top_k": exact_top_k,
     "op10_byte_level_bpe": byte_level_bpe,
