@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, packing, quality, secrets, topk
+from argloom.llm import bpe, jaccard, packing, pii, quality, secrets, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), path)
 
 
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.scan(_table(spark, folder, "documents")))
+
+
 def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), lambda key: key % 100 == 0)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": ngram_jaccard_join,
     "op3_secret_scan": secret_scan,
     "op6_best_fit_packing": best_fit_packing,
+    "op8_personal_data": personal_data,
     "op9_exact_top_k": exact_top_k,
     "op10_byte_level_bpe": byte_level_bpe,
 }
