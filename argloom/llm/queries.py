@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, packing, pii, quality, secrets, topk
+from argloom.llm import bpe, jaccard, langid, packing, pii, quality, secrets, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = langid.language_id(_table(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_table(spark, folder, "documents"), path)
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_jaccard_join": ngram_jaccard_join,
     "op3_secret_scan": secret_scan,
+    "op4_language_id": language_id,
     "op6_best_fit_packing": best_fit_packing,
     "op8_personal_data": personal_data,
     "op9_exact_top_k": exact_top_k,
