@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, langid, packing, pii, quality, secrets, topk
+from argloom.llm import bpe, jaccard, langid, lmtrie, packing, pii, quality, secrets, topk
+
+TRIE_ORDER = 3
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +39,11 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), path)
 
 
+def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    found = lmtrie.language_model_scores(_table(spark, folder, "documents"), order=TRIE_ORDER)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.scan(_table(spark, folder, "documents")))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan,
     "op4_language_id": language_id,
     "op6_best_fit_packing": best_fit_packing,
+    "op7_language_model_scores": language_model_scores,
     "op8_personal_data": personal_data,
     "op9_exact_top_k": exact_top_k,
     "op10_byte_level_bpe": byte_level_bpe,
