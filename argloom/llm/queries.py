@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, langid, lmtrie, packing, pii, quality, secrets, topk
+from argloom.llm import bpe, jaccard, langid, licenses, lmtrie, packing, pii, quality, secrets, topk
 
 TRIE_ORDER = 3
 
@@ -34,6 +34,21 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree ``source/language/hundred/id``.
+
+    The table has no licence files, so ids that end in 0 stand in for those of
+    their directories, and ids that end in 00 for those of their sources.
+    """
+    documents = _table(spark, folder, "documents")
+    name = F.col("doc_id").cast("string")
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    inside = F.concat_ws("/", "source", "lang", hundred, name)
+    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", name)).otherwise(inside)
+    opens = F.col("doc_id") % 10 == 0
+    return licenses.scan(documents, path, opens)
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_table(spark, folder, "documents"), path)
@@ -62,6 +77,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": ngram_jaccard_join,
     "op3_secret_scan": secret_scan,
     "op4_language_id": language_id,
+    "op5_license_scan": license_scan,
     "op6_best_fit_packing": best_fit_packing,
     "op7_language_model_scores": language_model_scores,
     "op8_personal_data": personal_data,
