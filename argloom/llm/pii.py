@@ -2,10 +2,11 @@
 
 Generators propose spans with high recall and may overlap. Every candidate gets
 features of its own format and of the characters around it. Gradient-boosted
-trees learn from candidates that strict patterns confirm and candidates that
-they do not; an isotonic regression on candidates kept apart turns scores into
-probabilities, and a threshold on these selects. What the strict patterns find
-is always reported. All of it is DataFrame and Spark ML work.
+trees learn from candidates that strict patterns confirm and from those that are
+surely none; loose forms that might be personal data are neither, and are what
+the trees decide about. An isotonic regression on candidates kept apart turns
+scores into probabilities, and a threshold on these selects. What the strict
+patterns find is always reported. All of it is DataFrame and Spark ML work.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MORE = {
     "email_spelled": r"(?i)[a-z0-9._%+-]{1,64}\x20?[(\[{<]?\x20?(?:@|at)\x20?[)\]}>]?\x20?[a-z0-9-]{1,63}\x20?[(\[{<]?\x20?(?:\.|dot)\x20?[)\]}>]?\x20?(?:com|org|net|edu|gov|info|io|de|fr|es|uk)\b",
     "ip_spelled": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
     "card_spelled": r"(?<![0-9])[0-9]{4}(?:[._/\x20-][0-9]{4}){2,3}(?:[._/\x20-][0-9]{1,3})?(?![0-9])",
-    "phone_spelled": r"(?<![0-9+.])(?:00[1-9][0-9]{0,2}|\([0-9]{2,5}\)|0[0-9]{1,4})[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-]{1,2}[0-9]{2,6}){1,4}(?![0-9])",
+    "phone_spelled": r"(?<![0-9+.])(?<![0-9][\x20./-])(?:00[1-9][0-9]{0,2}|\([0-9]{2,5}\)|0[0-9]{1,4})[\x20./-]{1,2}[0-9]{2,5}(?:[\x20./-]{1,2}[0-9]{2,6}){1,4}(?![0-9])",
     "number": r"(?<![0-9A-Za-z])[0-9]{2,4}(?:[\x20./-][0-9]{2,6}){1,5}(?![0-9A-Za-z])",
     "account": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
 }
@@ -121,6 +122,13 @@ def features(df: DataFrame) -> DataFrame:
     return df.withColumns({name: columns[name].cast("double") for name in FEATURES})
 
 
+def plausible() -> Column:
+    """Whether a candidate may be personal data in a form that the strict patterns do not know."""
+    by_form = F.col("kind").isin("email_spelled", "ip_spelled", "account")
+    phone = (F.col("kind") == "phone_spelled") & F.col("n_digits").between(9, 15)
+    return (F.col("luhn") == 1) | by_form | phone
+
+
 @dataclass
 class PiiModel:
     """Trees, the calibration of their score, and the least probability that selects."""
@@ -143,10 +151,11 @@ class PiiModel:
 def fit(candidates: DataFrame, sample: int = 20_000, threshold: float = 0.9) -> PiiModel:
     """Learn from at most ``sample`` candidates, those with the smallest hashes; every fourth calibrates.
 
-    ``candidates`` has ``confirmed`` (0/1), the features and ``_hash``. With one
-    class only there is nothing to learn, and the model selects nothing.
+    ``candidates`` has ``confirmed`` (0/1), the features and ``_hash``. Those that
+    are not confirmed but plausible teach nothing. With one class only there is
+    nothing to learn, and the model selects nothing.
     """
-    rows = candidates.orderBy("_hash", *FEATURES).limit(sample).select("_hash", F.col("confirmed").cast("double").alias("label"), *FEATURES)
+    rows = candidates.where((F.col("confirmed") == 1) | ~plausible()).orderBy("_hash", *FEATURES).limit(sample).select("_hash", F.col("confirmed").cast("double").alias("label"), *FEATURES)
     rows = materialize(rows, "pii-sample")
     split = F.pmod(F.col("_hash"), F.lit(4)) == 0
     seen = {(r["part"], r["label"]) for r in rows.select(split.alias("part"), "label").distinct().collect()}
