@@ -226,8 +226,9 @@ def _pair_cut(keep: str, side: str) -> str:
 
 PAIR_CUT = f"""{ARGS},{pairs(1)},
 two AS (SELECT doc_id, source, target, {tokens("source_text")} AS a, {tokens("target_text")} AS b FROM pairs),
-cut AS (SELECT doc_id, source, target, {_pair_cut("greatest(24 - len(b), 12)", "a")} AS a,
-    {_pair_cut("greatest(24 - len(a), 12)", "b")} AS b FROM two)"""
+cut AS (SELECT doc_id, source, target, len(a) AS la, len(b) AS lb,
+    {_pair_cut("greatest(512 - len(b), 256)", "a")} AS a,
+    {_pair_cut("greatest(512 - len(a), 256)", "b")} AS b FROM two)"""
 
 HTML_TEXT = f"regexp_replace(html, '{HTML}', ' ', 'g')"
 for _entity, _plain in (
@@ -240,7 +241,8 @@ BALANCED_DOCS = """SELECT doc_id, {0} FROM (SELECT doc_id, {0},
     row_number() OVER (PARTITION BY {0} ORDER BY md5('42:' || doc_id), doc_id) AS r FROM labels)
   WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY {0}))"""
 
-EXPORTED = "{'doc_id': doc_id, 'lang': lang, 'text': text, 'n_chars': n_chars}"
+EXPORTED = """{'doc_id': doc_id, 'lang': lang, 'text': text, 'n_chars': n_chars,
+    'note': CASE WHEN doc_id % 2 = 0 THEN lang END}"""
 BIASES = "(VALUES (0, -4000000), (1, -2000000), (2, 0), (3, 2000000), (4, 4000000)) t(trial, bias)"
 
 ORACLE: dict[str, str] = {
@@ -266,13 +268,13 @@ ORACLE: dict[str, str] = {
         FROM sent JOIN documents USING (doc_id) GROUP BY lang""",
     "cast_text": """SELECT doc_id, coalesce(quality::VARCHAR, '') AS quality
         FROM documents LEFT JOIN labels USING (doc_id)""",
-    "drop_empty": f"SELECT doc_id, lang FROM documents WHERE lang <> 'de' AND {CLEAN % 'text'} <> ''",
+    "drop_empty": f"SELECT doc_id, lang FROM documents WHERE {CLEAN % 'text'} <> ''",
     "binary_label": """SELECT doc_id, CASE WHEN quality = 0 THEN 0 ELSE 1 END AS label
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "select_split": f"""WITH {LABELLED} SELECT doc_id, sent_idx, "set" FROM labelled WHERE "set" = 'val'""",
     "select_confident": f"WITH {RELATIONS} SELECT doc_id, source, target, type FROM edges WHERE prob >= 0.6",
-    "prune_columns": f"""WITH {LABELLED} SELECT array_to_string(list_slice({tokens("sentence")}, 1, 128), ' ') AS tokens,
-        least(len({tokens("sentence")}), 128)::INTEGER AS n_tokens, quality AS label FROM labelled""",
+    "prune_columns": f"""WITH {LABELLED} SELECT array_to_string({tokens("sentence")}, ' ') AS tokens,
+        len({tokens("sentence")})::INTEGER AS n_tokens, quality AS label FROM labelled""",
     "filter_argumentative": f"WITH {SCORED} SELECT doc_id, sent_idx, text FROM scored WHERE is_arg = 1",
     "filter_linkable": f"""WITH {ARGS} SELECT doc_id, sent_idx FROM args WHERE doc_id IN
         (SELECT doc_id FROM args GROUP BY doc_id HAVING count(*) >= 2)""",
@@ -292,14 +294,16 @@ ORACLE: dict[str, str] = {
         array_to_string(list_slice({tokens("text")}, 1, 128), ' ') AS tokens,
         least(len({tokens("text")}), 128)::INTEGER AS n_tokens FROM sent""",
     "tokenize_pair": f"""WITH {PAIR_CUT} SELECT doc_id, source, target, len(a)::INTEGER AS n_source,
-        len(b)::INTEGER AS n_target, array_to_string(a, ' ') AS source_tokens,
+        len(b)::INTEGER AS n_target, la::INTEGER AS n_source_uncut, lb::INTEGER AS n_target_uncut,
+        array_to_string(a, ' ') AS source_tokens,
         array_to_string(b, ' ') AS target_tokens FROM cut""",
     "score_batches": f"""WITH {NETWORK} SELECT doc_id, sent_idx, ({ARGMAX})::INTEGER AS pred_id,
         CASE {ARGMAX} WHEN 0 THEN 'long' WHEN 1 THEN 'wide' ELSE 'plain' END AS pred,
         round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1 FROM nx""",
-    "score_linear": f"""WITH {SENT},{DOC_WEIGHTS} SELECT doc_id, sent_idx, sum(weight)::BIGINT AS score,
-        count(*) AS n_known FROM (SELECT doc_id, sent_idx, unnest({tokens("text")}) AS token FROM sent)
-        JOIN dwts USING (token) GROUP BY doc_id, sent_idx""",
+    "score_linear": f"""WITH {SENT},{DOC_WEIGHTS} SELECT s.doc_id, s.sent_idx,
+        coalesce(sum(weight), 0)::BIGINT AS score, count(weight) AS n_known FROM sent s
+        LEFT JOIN (SELECT doc_id, sent_idx, unnest({tokens("text")}) AS token FROM sent) t USING (doc_id, sent_idx)
+        LEFT JOIN dwts USING (token) GROUP BY s.doc_id, s.sent_idx""",
     "score_linear_rowwise": f"""WITH {SENT},{DOC_WEIGHTS},{margins("mrg", "dwts")}
         SELECT doc_id, sent_idx, m AS score FROM mrg""",
     "score_linear_sharded": f"""WITH {SENT},{DOC_WEIGHTS},{margins("mrg", "dwts")}

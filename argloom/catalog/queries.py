@@ -253,7 +253,8 @@ def write_mirrored(spark, sf):
 
 
 def _exported(spark, sf):
-    return _documents(spark, sf, "doc_id", "lang", "text", "n_chars")
+    docs = _documents(spark, sf, "doc_id", "lang", "text", "n_chars")
+    return docs.withColumn("note", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))  # null in half of them
 
 
 def write_documents(spark, sf):
@@ -301,9 +302,9 @@ def cast_text(spark, sf):
 
 
 def drop_empty(spark, sf):
-    docs = _documents(spark, sf, "doc_id", "lang", "text").withColumn(
-        "text", F.when(F.col("lang") == "de", F.lit("<p>\t</p> <br>")).otherwise(F.col("text"))
-    )
+    docs = _documents(spark, sf, "doc_id", "lang", "text")
+    empty = docs.withColumn("doc_id", -1 - F.col("doc_id")).withColumn("text", F.lit("<p>\t</p> <br>"))
+    docs = docs.unionByName(empty)  # an empty document beside every real one
     return X.drop_empty(X.clean_text(docs, "text"), "text").select("doc_id", "lang")
 
 
@@ -323,7 +324,7 @@ def select_confident(spark, sf):
 
 
 def prune_columns(spark, sf):
-    rows = X.tokenize(M.binary_label(_labelled(spark, sf)), "sentence", 128)
+    rows = X.tokenize(M.binary_label(_labelled(spark, sf)), "sentence")
     kept = M.prune_columns(rows, ["tokens", "n_tokens", "label"])
     return kept.select(_joined("tokens").alias("tokens"), "n_tokens", "label")
 
@@ -386,9 +387,11 @@ def tokenize_truncate(spark, sf):
 
 def tokenize_pair(spark, sf):
     near = R.windowed_pairs(_args(spark, sf), "doc_id", window=1)
-    pairs = X.tokenize_pair(near, "source_text", "target_text", 24)
+    pairs = X.tokenize_pair(near, "source_text", "target_text", 512)
     return pairs.select(
         "doc_id", "source", "target", "n_source", "n_target",
+        F.size(T.tokens(F.col("source_text"))).alias("n_source_uncut"),
+        F.size(T.tokens(F.col("target_text"))).alias("n_target_uncut"),
         _joined("source_tokens").alias("source_tokens"),
         _joined("target_tokens").alias("target_tokens"),
     )

@@ -7,6 +7,7 @@ row, so none of it moves data between tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -21,17 +22,9 @@ ELLIPSIS = r"""\.\.["')\]}]*"""
 INITIAL = r"""\p{L}\.(?<![\p{L}\p{N}]\p{L}\.)(?= [\p{L};:,.!?])"""
 NUMBER = r"""(?=[-.,0-9])(?<![^ ])-?[.,]?[0-9][0-9,.\-]*\.(?= [\p{Ll};:,.!?])"""
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+# Character references: the standard's names come with Python.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 
 SENTENCE_TYPE = "struct<text:string,start_index:bigint,end_index:bigint>"
 
@@ -61,12 +54,56 @@ def cleaned_text(col: Column) -> Column:
     return _squeeze(F.concat(F.regexp_replace(tagged, TAG, " "), rest))
 
 
+def decoded(text: Column) -> Column:
+    """Character references as the characters they stand for, in one pass from left to right.
+
+    Named and numeric references that end in ``;`` are decoded; what is none stays.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(reference: Column) -> Column:
+        hexadecimal = F.lower(F.substring(reference, 1, 2)) == "#x"
+        digits = F.regexp_replace(reference, "^#[xX]?", "")
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.substring(reference, 1, 1) == "#", F.when(valid, number)).otherwise(names[reference])
+
+    def piece(part: Column, i: Column) -> Column:
+        reference = F.regexp_extract(part, REFERENCE, 1)
+        found = F.when((i > 0) & (reference != ""), character(reference))
+        rest = F.substring(part, F.length(reference) + 2, F.length(part))
+        return F.coalesce(F.concat(found, rest), F.when(i > 0, F.concat(F.lit("&"), part)).otherwise(part))
+
+    joined = F.array_join(F.transform(F.split(text, "&"), piece), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
 def cleaned_html(col: Column) -> Column:
-    """Readable text of a whole page: comments, scripts and styles dropped, entities decoded."""
-    text = F.regexp_replace(col.cast("string"), HTML, " ")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return _squeeze(text)
+    """Readable text of a whole page: comments, scripts and styles dropped, references decoded.
+
+    What opens after the last closing mark of its kind never closes. Such
+    openings get a mark that keeps the pattern from searching to the end of the
+    page for each of them, and only the part up to the last ``>`` is searched.
+    """
+
+    def neutral(text: Column, closing: str, opening: str, mark: str) -> Column:
+        def after(head: Column) -> Column:
+            tail = F.substring(text, F.length(head) + 1, F.length(text))
+            return F.concat(head, F.regexp_replace(tail, opening, mark))
+
+        return let(F.regexp_extract(text, closing, 0), after)
+
+    def bare(text: Column) -> Column:
+        rest = F.substring_index(text, ">", -1)
+        tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+        return F.concat(F.regexp_replace(tagged, HTML, " "), rest)
+
+    text = let(_plain(col.cast("string")), lambda t: neutral(t, r"(?s)^.*-->", "<!--", f"<{_BREAK}!--"))
+    closing = r"(?is)^.*</(?:script|style)\s*>"
+    text = let(text, lambda t: neutral(t, closing, r"(?i)<(?=(?:script|style)\b)", f"<{_BREAK}"))
+    text = let(text, bare)
+    return _squeeze(let(F.replace(text, F.lit(_BREAK), F.lit("")), decoded))
 
 
 def sentence_texts(clean: Column) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from argloom.session import materialize
 
-# Hex digits per counting pass, and the number of leftover ranks that may be sorted together.
-_DIGITS = 3
-_SORTABLE = 100_000
+_DIGITS = 3  # hex digits per counting pass
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -26,12 +26,12 @@ def seeded_rank(key: Sequence[str], seed: int) -> Column:
 def _nth_rank(ranks: DataFrame, n: int, total: int) -> str:
     """The n-th smallest of a column of hex ranks.
 
-    Counts ranks by leading digits, follows the digits that hold the n-th one,
-    and sorts only once few enough are left. A pass returns at most 16**_DIGITS
-    counts, whatever the size of the table.
+    Counts ranks by leading digits and follows the digits that hold the n-th
+    one, until it is the last of those that share them. A pass returns at most
+    16**_DIGITS counts, whatever the size of the table.
     """
     prefix, left = "", n
-    while total > _SORTABLE and len(prefix) < 32:
+    while left < total and len(prefix) < 32:
         digits = F.substring("rank", len(prefix) + 1, _DIGITS)
         counts = ranks.groupBy(digits.alias("digits")).agg(F.count("*").alias("n"))
         for row in sorted(counts.collect()):
@@ -40,9 +40,7 @@ def _nth_rank(ranks: DataFrame, n: int, total: int) -> str:
                 break
             left -= row.n
         ranks = ranks.where(F.col("rank").startswith(prefix))
-    if len(prefix) >= 32:
-        return prefix
-    return ranks.orderBy("rank").limit(left).agg(F.max("rank")).first()[0]
+    return prefix if left < total else ranks.agg(F.max("rank")).first()[0]
 
 
 def sample_exactly(
@@ -78,15 +76,16 @@ def sample_exactly(
 def balance_classes(
     df: DataFrame, key: str | Sequence[str], label: str = "label", seed: int = 42
 ) -> DataFrame:
-    """Sample every larger class down to the size of the smallest one."""
+    """Sample every larger class down to the size of the smallest one; a null label is a class."""
     key = [key] if isinstance(key, str) else list(key)
     sizes = {row[label]: row.n for row in class_counts(df, label).collect()}
     smallest = min(sizes.values(), default=0)
-    balanced = df.where(F.col(label).isin([c for c, n in sizes.items() if n == smallest]))
+    is_class = {value: F.col(label).eqNullSafe(F.lit(value)) for value in sizes}
+    balanced = df.where(reduce(or_, [is_class[c] for c, n in sizes.items() if n == smallest], F.lit(False)))
     for value, n in sizes.items():
         if n > smallest:
             balanced = balanced.unionByName(
-                sample_exactly(df.where(F.col(label) == value), smallest, key, seed, total=n)
+                sample_exactly(df.where(is_class[value]), smallest, key, seed, total=n)
             )
     return balanced
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from argloom.functions import text as T
-from argloom.functions.arrays import items
 from argloom.functions.linear import list_margin, nested_margins
 from argloom.functions.probability import argmax, label_of, sigmoid, softmax
 from argloom.operators.training import MICRO
@@ -114,6 +113,8 @@ def score_linear(
 ) -> DataFrame:
     """Sum of word weights per key, as a join: ``key..., score, n_known``.
 
+    Every row is kept: without a known word its score is 0.
+
     Works for weight tables of any size. The most frequent words, which would
     make hot join keys, are a table of at most ``frequent`` rows and are
     broadcast; a sentence's sum over them is one row before the first shuffle.
@@ -130,7 +131,8 @@ def score_linear(
     )
     rare = F.col("head").isNull()
     spot = F.xxhash64(*key)
-    words = items(df, key, tokens, "token").join(F.broadcast(head), "token", "left")
+    words = df.select(*key, F.explode_outer(tokens).alias("token"))
+    words = words.join(F.broadcast(head), "token", "left")
     counted = (
         words.select(
             *key,
@@ -146,8 +148,10 @@ def score_linear(
         counted.join(tail, ["token", "salt"], "left")
         .select(*key, weight.alias("weight"), F.when(weight.isNotNull(), F.col("n")).alias("n"))
         .groupBy(*key)
-        .agg(F.sum("weight").alias("score"), F.sum("n").alias("n_known"))
-        .where("n_known > 0")
+        .agg(
+            F.coalesce(F.sum("weight"), F.lit(0)).alias("score"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_known"),
+        )
     )
 
 

@@ -57,6 +57,17 @@ def resolve_content(
     return df.withColumn(out, F.coalesce(*[F.col(c).cast("string") for c in present]))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path. Any other trouble with it is an error."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def pending_inputs(src: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Inputs that have no output yet.
 

@@ -12,6 +12,7 @@ def scan_labelled(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFr
 
     CSV columns are matched by position, so files are read in groups that share
     a header. The driver sees one line per file, as it does when listing them.
+    Without any file the table is empty, with the columns that training needs.
     """
     lines = (
         spark.read.option("pathGlobFilter", glob)
@@ -32,6 +33,8 @@ def scan_labelled(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFr
         .orderBy("header")
         .collect()
     )
+    if not headers:
+        return spark.createDataFrame([], "sentence STRING, annotation STRING, set STRING")
     tables = []
     for row in headers:
         names = [name.strip("\ufeff\r") for name in row.header.split("\t")]

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from py4j.protocol import Py4JJavaError
 
 from argloom.operators.scoring import LinearModel
+from argloom.sources.corpus import exists
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
@@ -25,12 +24,12 @@ def load_weights(spark: SparkSession, path: str) -> DataFrame:
 def load_or_train_linear(
     spark: SparkSession, path: str, train: Callable[[], DataFrame], force: bool = False
 ) -> LinearModel:
-    """The linear model kept at ``path``; trained and kept first if there is none."""
-    if not force:
-        try:
-            return LinearModel(load_weights(spark, path))
-        except AnalysisException:
-            pass
+    """The linear model kept at ``path``; trained and kept first if there is none.
+
+    A model that is there but cannot be read is an error, and is never overwritten.
+    """
+    if not force and exists(spark, path):
+        return LinearModel(load_weights(spark, path))
     save_weights(train(), path)
     return LinearModel(load_weights(spark, path))
 
@@ -38,11 +37,11 @@ def load_or_train_linear(
 def load_or_train(
     path: str, train: Callable[[], PipelineModel], force: bool = False
 ) -> PipelineModel:
-    """The ML model kept at ``path``; trained and kept first if there is none."""
-    if not force:
-        try:
-            return PipelineModel.load(path)
-        except (AnalysisException, Py4JJavaError):
-            pass
+    """The ML model kept at ``path``; trained and kept first if there is none.
+
+    A model that is there but cannot be read is an error, and is never overwritten.
+    """
+    if not force and exists(SparkSession.active(), path):
+        return PipelineModel.load(path)
     train().write().overwrite().save(path)
     return PipelineModel.load(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from argloom.schemas import METRICS
 
@@ -14,17 +14,25 @@ def write_mirrored(
 ) -> None:
     """Parquet in the directory layout of the input, one directory per partition value.
 
-    Rows stay where they are: each task writes its own files, so a value that
-    holds most of the rows is written by as many tasks as produced it.
+    Rows of one value are brought together first, or every task would write a
+    file for every value. Spark splits a value that holds most of the rows over
+    many tasks again.
     """
+    if by:
+        df = df.hint("rebalance", *by)
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def _json(df: DataFrame) -> Column:
+    """The whole row as JSON; null fields keep their names."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
 def document_json(df: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
     """One JSON text per document under ``prefix/id.json``: columns ``key`` and ``body``."""
     return df.select(
         F.format_string("%s/%s.json", F.lit(prefix), F.col(id_col).cast("string")).alias("key"),
-        F.to_json(F.struct(*df.columns)).alias("body"),
+        _json(df).alias("body"),
     )
 
 
@@ -54,7 +62,7 @@ def index_lines(df: DataFrame, index: str, id_col: str = "id") -> DataFrame:
     """
     target = F.struct(F.lit(index).alias("_index"), F.col(id_col).cast("string").alias("_id"))
     action = F.to_json(F.struct(target.alias("index")))
-    source = F.to_json(F.struct(*df.columns))
+    source = _json(df)
     return df.select(F.concat_ws("\n", action, source).alias("value"))
 
 

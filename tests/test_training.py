@@ -25,19 +25,15 @@ def rows_of(spark, n, hot=0):
     return spark.createDataFrame(data, "id INT, v STRING").repartition(6)
 
 
-@pytest.mark.parametrize("sortable", [100_000, 10])
 @pytest.mark.parametrize("n", [0, 1, 37, 500, 999, 5000])
-def test_sample_has_the_exact_size_and_smallest_ranks(spark, monkeypatch, sortable, n):
-    monkeypatch.setattr(S, "_SORTABLE", sortable)
+def test_sample_has_the_exact_size_and_smallest_ranks(spark, n):
     df = rows_of(spark, 1000)
     got = sorted(r.id for r in S.sample_exactly(df, n, ["id"], 42).collect())
     ranked = df.select("id", S.seeded_rank(["id"], 42).alias("r")).orderBy("r").collect()
     assert got == sorted(r.id for r in ranked[:n])
 
 
-@pytest.mark.parametrize("sortable", [100_000, 10])
-def test_sample_with_a_third_of_rows_on_one_key(spark, monkeypatch, sortable):
-    monkeypatch.setattr(S, "_SORTABLE", sortable)
+def test_sample_with_a_third_of_rows_on_one_key(spark):
     df = rows_of(spark, 600, hot=300)
     for n in (1, 250, 450, 600, 899):
         rows = S.sample_exactly(df, n, ["id"], 42).collect()
@@ -57,6 +53,12 @@ def test_balance_both_ways(spark):
         assert sorted(out.collect()) == sorted(again.collect())
 
 
+def test_null_labels_are_a_class_of_their_own(spark):
+    data = [(i, None if i < 2 else i % 2) for i in range(12)]
+    out = S.balance_classes(spark.createDataFrame(data, "id INT, label INT"), "id")
+    assert {r.label: r.n for r in S.class_counts(out).collect()} == {None: 2, 0: 2, 1: 2}
+
+
 def test_shuffle_keeps_rows(spark):
     df = rows_of(spark, 300, hot=150)
     out = S.shuffle_rows(df, "id").collect()
