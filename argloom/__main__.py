@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame, functions as F
+
 from argloom.operators.scoring import LinearModel
 from argloom.plans.mine import mine_arguments
 from argloom.plans.preprocess import preprocess_files
@@ -50,14 +52,25 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def show(report: DataFrame | None) -> None:
+    """Print how many files were done and how many failed, and some of the failed ones."""
+    if report is None:
+        print("no new files")
+        return
+    report.groupBy("status").agg(F.count("*").alias("files"), F.sum("expected").alias("rows")).show()
+    failed = report.where("status = 'failed'").select("path", "expected", "read")
+    if not failed.isEmpty():
+        failed.show(truncate=False)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(f"argloom-{args.job}")
     if args.job == "preprocess":
-        preprocess_files(spark, args.input_dir, args.output_dir, args.id, args.by)
+        show(preprocess_files(spark, args.input_dir, args.output_dir, args.id, args.by))
     elif args.job == "score":
-        model = LinearModel(models.load_weights(spark, args.model_dir))
-        score_files(spark, args.input_dir, args.output_dir, model, args.by)
+        model = models.load_model(spark, args.model_dir)
+        show(score_files(spark, args.input_dir, args.output_dir, model, args.by))
     elif args.job == "mine":
         detector, components = (
             LinearModel(models.load_weights(spark, path)) for path in (args.detector, args.components)

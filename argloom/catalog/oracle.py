@@ -253,7 +253,8 @@ ORACLE: dict[str, str] = {
     "resolve_content": "SELECT doc_id AS id, md5(text) AS digest FROM documents",
     "pending_inputs": f"""WITH {SENT} SELECT doc_id, lang FROM documents WHERE NOT
         (lang = 'en' AND doc_id IN (SELECT doc_id FROM sent))""",
-    "failed_inputs": "SELECT DISTINCT 'lang=' || lang AS folder FROM documents WHERE lang = 'es'",
+    "failed_inputs": """SELECT DISTINCT 'lang=' || lang AS folder, NULL::BIGINT AS expected, 0::BIGINT AS read,
+        'failed' AS status FROM documents WHERE lang = 'es'""",
     "relative_path": "SELECT doc_id AS id, 'language=' || lang AS folder FROM documents",
     "write_mirrored": f"""WITH {SENT} SELECT doc_id, sent_idx, lang, sent.text
         FROM sent JOIN documents USING (doc_id)""",
@@ -264,8 +265,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT md5('{{"index":{{"_index":"documents","_id":"' || doc_id || '"}}}}') FROM documents""",
     "metrics_table": LONG_METRICS,
     "save_model": f"WITH {SENT},{TRAIN} SELECT token, weight FROM wts",
-    "run_report": f"""WITH {SENT} SELECT lang, count(*) AS rows
-        FROM sent JOIN documents USING (doc_id) GROUP BY lang""",
+    "run_report": """SELECT 'lang=' || lang AS folder, count(*) AS expected, count(*) AS read,
+        'done' AS status FROM documents GROUP BY lang""",
     "cast_text": """SELECT doc_id, coalesce(quality::VARCHAR, '') AS quality
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "drop_empty": f"SELECT doc_id, lang FROM documents WHERE {CLEAN % 'text'} <> ''",

@@ -32,7 +32,7 @@ from argloom.plans.score import score_corpus
 from argloom.plans.train import train_detector
 from argloom.schemas import COMPONENT_LABELS, STANCE_LABELS
 from argloom.session import materialize, scratch_path, spread
-from argloom.sources import corpus as O, models as K, sinks as W
+from argloom.sources import corpus as O, manifest as N, models as K, sinks as W
 from argloom.sources.labelled import scan_labelled
 from argloom.streaming.incremental import incremental_sentences
 
@@ -227,13 +227,17 @@ def pending_inputs(spark, sf):
 
 def failed_inputs(spark, sf):
     root = scratch_path(spark, "damaged")
-    docs = _documents(spark, sf, "doc_id", "lang")
+    docs = _documents(spark, sf, "doc_id", "lang", "text").coalesce(1)  # one file a language
     W.write_mirrored(docs.where("lang <> 'es'"), root, ["lang"], mode="append")
     docs.where("lang = 'es'").select(F.col("doc_id").cast("string")).write.text(f"{root}/lang=es")
-    expected = O.list_files(spark, root, "part-*")
-    seen = O.scan_corpus(spark, root, glob="part-*", skip_corrupt=True, with_file=True)
-    failed = O.relative_path(O.failed_inputs(expected, seen), root)
-    return failed.select(F.substring_index("relative_path", "/", 1).alias("folder")).distinct()
+    report = N.inspect(spark, root, O.list_files(spark, root, "part-*"))
+    return _by_folder(report.where("status = 'failed'"), root)
+
+
+def _by_folder(report: DataFrame, root: str) -> DataFrame:
+    """A report on files, each named by its directory."""
+    folder = F.substring_index("relative_path", "/", 1).alias("folder")
+    return O.relative_path(report, root).select(folder, "expected", "read", "status")
 
 
 def relative_path(spark, sf):
@@ -289,8 +293,10 @@ def save_model(spark, sf):
 
 
 def run_report(spark, sf):
-    docs = _documents(spark, sf, "doc_id", "lang", "text")
-    return O.run_report(preprocess_corpus(docs, ["doc_id", "lang"], ["text"]), "lang")
+    root = scratch_path(spark, "reported")
+    docs = _documents(spark, sf, "doc_id", "lang", "text").coalesce(1)  # one file a language
+    W.write_mirrored(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("main_content"), "lang"), f"{root}/in", ["lang"])
+    return _by_folder(preprocess_files(spark, f"{root}/in", f"{root}/out", by=["lang"]), f"{root}/in")
 
 
 # --- projections and filters ----------------------------------------------

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from argloom.operators.text import clean_text, split_sentences
+from argloom.plans.files import process_files
 from argloom.schemas import CONTENT_COLUMNS
-from argloom.sources.corpus import FILE, resolve_content, scan_pending
-from argloom.sources.sinks import write_mirrored
+from argloom.sources.corpus import FILE, resolve_content
 
 
 def preprocess_corpus(
@@ -30,8 +30,11 @@ def preprocess_files(
     id_col: str = "id",
     by: Sequence[str] = (),
     glob: str = "*.parquet",
-) -> None:
-    """Sentences of every file under ``src`` not processed before, mirrored below ``out``."""
-    docs = scan_pending(spark, src, out, glob)
-    if docs is not None:
-        write_mirrored(preprocess_corpus(docs, [id_col, FILE, *by]), out, by, mode="append")
+) -> DataFrame | None:
+    """Sentences of every file under ``src`` not processed before, mirrored below ``out``.
+
+    Returns what became of each of these files; None if there was none.
+    """
+    return process_files(
+        spark, src, out, lambda docs: preprocess_corpus(docs, [id_col, FILE, *by]), by, glob
+    )

@@ -8,8 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from argloom.operators.scoring import LinearModel, detect_sentences
-from argloom.sources.corpus import scan_pending
-from argloom.sources.sinks import write_mirrored
+from argloom.plans.files import process_files
 
 
 def score_corpus(
@@ -25,8 +24,6 @@ def score_files(
     out: str,
     model: LinearModel | PipelineModel,
     by: Sequence[str] = (),
-) -> None:
-    """Score the sentence files under ``src`` that were not scored before."""
-    sentences = scan_pending(spark, src, out)
-    if sentences is not None:
-        write_mirrored(score_corpus(sentences, model), out, by, mode="append")
+) -> DataFrame | None:
+    """Score the sentence files under ``src`` that were not scored before; returns the report on them."""
+    return process_files(spark, src, out, lambda rows: score_corpus(rows, model), by)

@@ -1,4 +1,4 @@
-"""Reading a corpus of parquet files, and keeping track of which files are done."""
+"""Reading a corpus of parquet files."""
 
 from __future__ import annotations
 
@@ -78,11 +78,6 @@ def pending_inputs(src: DataFrame, done: DataFrame, key: str | Sequence[str]) ->
     return src.join(done.select(*key).distinct(), key, "left_anti")
 
 
-def failed_inputs(expected: DataFrame, seen: DataFrame, key: str = FILE) -> DataFrame:
-    """Files that were listed but yielded no row: unreadable ones stay visible."""
-    return expected.select(key).join(seen.select(key).distinct(), key, "left_anti")
-
-
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Every file under a tree, one row each, from the listing alone: no file is opened.
 
@@ -97,30 +92,6 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return spark.createDataFrame(rows, f"{FILE} STRING, path STRING")
 
 
-def scan_pending(
-    spark: SparkSession, src: str, out: str, glob: str = "*.parquet", merge_schema: bool = True
-) -> DataFrame | None:
-    """Rows of the input files that the output at ``out`` does not know; None if all are done.
-
-    The difference is taken between file lists, and only the missing files are
-    opened. Output rows carry the file they came from, and a write becomes
-    visible when its job commits, so a broken run leaves nothing that looks done.
-    """
-    try:
-        done = spark.read.parquet(out)
-    except AnalysisException:  # nothing written yet
-        return scan_corpus(
-            spark, src, glob, merge_schema=merge_schema, skip_corrupt=True, with_file=True
-        )
-    pending = pending_inputs(list_files(spark, src, glob), done, FILE)
-    paths = [row.path for row in pending.select("path").collect()]
-    if not paths:
-        return None
-    reader = spark.read.option("basePath", src).option("mergeSchema", merge_schema)
-    df = reader.option("ignoreCorruptFiles", True).parquet(*paths)
-    return df.withColumn(FILE, F.col("_metadata.file_path"))
-
-
 def relative_path(df: DataFrame, root: str, col: str = FILE, out: str = "relative_path") -> DataFrame:
     """The file path below the input root, without scheme or root."""
     bare = F.regexp_replace(F.col(col), r"^[a-z0-9]+:/*", "/")

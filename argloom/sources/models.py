@@ -21,6 +21,13 @@ def load_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_model(spark: SparkSession, path: str) -> LinearModel | PipelineModel:
+    """The model kept at a path: an ML pipeline if its metadata is there, else a weight table."""
+    if exists(spark, f"{path}/stages"):
+        return PipelineModel.load(path)
+    return LinearModel(load_weights(spark, path))
+
+
 def load_or_train_linear(
     spark: SparkSession, path: str, train: Callable[[], DataFrame], force: bool = False
 ) -> LinearModel:

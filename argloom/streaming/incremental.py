@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from argloom.plans.preprocess import preprocess_corpus
+from argloom.sources.corpus import FILE, list_files
+from argloom.sources.manifest import inspect, read_manifest, write_manifest
 
 
 def incremental(
@@ -22,7 +24,9 @@ def incremental(
 
     The checkpoint remembers files by name, so each is read once. A batch that
     is replayed after a failure overwrites the folder of its own batch number,
-    so its rows are not written twice.
+    so its rows are not written twice. What cannot be read of a damaged file is
+    left out and the stream goes on; the manifest in ``dst`` lists such a file
+    as failed, with the rows it should have and those that were read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -32,6 +36,7 @@ def incremental(
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", "*.parquet")
+        .option("ignoreCorruptFiles", True)
         .parquet(src)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -39,6 +44,9 @@ def incremental(
         .start()
     )
     query.awaitTermination()
+    arrived = list_files(spark, src, "*.parquet").join(read_manifest(spark, dst).select(FILE), FILE, "left_anti")
+    if not arrived.isEmpty():
+        write_manifest(inspect(spark, src, arrived), dst)
 
 
 def incremental_sentences(

@@ -3,6 +3,8 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from argloom.plans.score import score_files
 from argloom.operators.scoring import LinearModel
 from argloom.sources import corpus as O, models as K, sinks as W
 from argloom.sources.labelled import scan_labelled
+from argloom.sources.manifest import read_manifest, write_manifest
 from argloom.streaming.incremental import incremental_sentences
 
 DOCS = [(1, "One. Two two.", "eng"), (2, "Three is here. Four.", "deu"), (3, None, "eng")]
@@ -151,6 +154,80 @@ def test_stream_takes_new_files_once(spark, folder):
     assert run() == 6
 
 
+def damaged_file(path, rows=4000):
+    """A parquet file of four row groups, the third of which is overwritten with zeros."""
+    table = pa.table({"id": pa.array(range(rows)), "main_content": [f"Text {i}. More." for i in range(rows)]})
+    pq.write_table(table, path, row_group_size=rows // 4, compression="none", use_dictionary=False)
+    group = pq.ParquetFile(path).metadata.row_group(2)
+    start = min(group.column(c).data_page_offset for c in range(2))
+    with open(path, "r+b") as file:
+        file.seek(start)
+        file.write(b"\0" * 2000)
+
+
+def tree(spark, folder):
+    """A whole file, one without rows, one without sentences, a damaged one and one that is no parquet."""
+    src = Path(folder) / "in"
+    src.mkdir()
+    schema = pa.schema([("id", pa.int64()), ("main_content", pa.string())])
+    pq.write_table(pa.table({"id": [1, 2], "main_content": ["One. Two.", "Three."]}, schema), src / "whole.parquet")
+    pq.write_table(schema.empty_table(), src / "empty.parquet")
+    pq.write_table(pa.table({"id": [3], "main_content": ["<p></p>"]}, schema), src / "silent.parquet")
+    damaged_file(str(src / "damaged.parquet"))
+    (src / "other.parquet").write_text("no parquet at all")
+    return str(src)
+
+
+WANT = {
+    "whole": (2, 2, "done"), "empty": (0, 0, "done"), "silent": (1, 1, "done"),
+    "damaged": (4000, 3000, "failed"), "other": (None, 0, "failed"),
+}
+
+
+def by_name(report):
+    return {Path(r.path).stem: (r.expected, r.read, r.status) for r in report.collect()}
+
+
+def test_no_row_is_lost_silently(spark, folder):
+    src = tree(spark, folder)
+    got = by_name(preprocess_files(spark, src, f"{folder}/out"))
+    damaged = got.pop("damaged")
+    assert damaged[0] == 4000 and damaged[1] < 4000 and damaged[2] == "failed"
+    assert got == {k: v for k, v in WANT.items() if k != "damaged"}
+    out = spark.read.parquet(f"{folder}/out")
+    assert sorted(r.text for r in out.collect()) == ["One.", "Three.", "Two."]
+    again = by_name(preprocess_files(spark, src, f"{folder}/out"))
+    assert set(again) == {"damaged", "other"}  # the failed ones are tried again, nothing else
+    assert spark.read.parquet(f"{folder}/out").count() == 3
+    table = pa.table({"id": [9], "main_content": ["Mended."]})
+    (Path(src) / "other.parquet").unlink()
+    pq.write_table(table, Path(src) / "other.parquet")
+    assert by_name(preprocess_files(spark, src, f"{folder}/out"))["other"] == (1, 1, "done")
+    assert spark.read.parquet(f"{folder}/out").count() == 4
+    manifest = {Path(r.path).stem: r.status for r in read_manifest(spark, f"{folder}/out").collect()}
+    assert manifest == {k: "failed" if k == "damaged" else "done" for k in WANT}
+
+
+def test_a_run_that_broke_off_before_its_manifest(spark, folder):
+    documents(spark).coalesce(1).write.parquet(f"{folder}/in")
+    report = preprocess_files(spark, f"{folder}/in", f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out").count()
+    write_manifest(report.withColumn("status", F.lit("started")), f"{folder}/out")
+    assert preprocess_files(spark, f"{folder}/in", f"{folder}/out") is None
+    assert spark.read.parquet(f"{folder}/out").count() == rows
+
+
+def test_stream_goes_on_after_a_damaged_file(spark, folder):
+    src = tree(spark, folder)
+    incremental_sentences(spark, src, f"{folder}/out", f"{folder}/mark", "id LONG, main_content STRING", "id", "main_content")
+    pq.write_table(pa.table({"id": [9], "main_content": ["Nine. Ten."]}), f"{src}/late.parquet")
+    incremental_sentences(spark, src, f"{folder}/out", f"{folder}/mark", "id LONG, main_content STRING", "id", "main_content")
+    texts = {r.text for r in spark.read.parquet(f"{folder}/out").where("id in (1, 2, 9)").collect()}
+    assert {"One.", "Two.", "Three.", "Nine.", "Ten."} <= texts
+    status = {Path(r.path).stem: r.status for r in read_manifest(spark, f"{folder}/out").collect()}
+    assert status == {**{k: v[2] for k, v in WANT.items()}, "late": "done"}
+
+
 class _Session:
     """As much of a session as the scratch folder looks at."""
 
