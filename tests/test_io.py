@@ -16,7 +16,7 @@ from argloom.plans.score import score_files
 from argloom.operators.scoring import LinearModel
 from argloom.sources import corpus as O, models as K, sinks as W
 from argloom.sources.labelled import scan_labelled
-from argloom.sources.manifest import read_manifest, write_manifest
+from argloom.sources.manifest import inspect, read_manifest, write_manifest
 from argloom.streaming.incremental import incremental_sentences
 
 DOCS = [(1, "One. Two two.", "eng"), (2, "Three is here. Four.", "deu"), (3, None, "eng")]
@@ -67,7 +67,8 @@ def test_unreadable_files_stay_visible(spark, folder):
     (Path(folder) / "language=eng" / "broken.parquet").write_bytes(b"not parquet")
     seen = O.scan_corpus(spark, folder, skip_corrupt=True, with_file=True)
     assert seen.count() == 3
-    failed = O.relative_path(O.failed_inputs(O.list_files(spark, folder, "*.parquet"), seen), folder)
+    report = inspect(spark, folder, O.list_files(spark, folder, "*.parquet"))
+    failed = O.relative_path(report.where("status = 'failed'"), folder)
     assert [r.relative_path for r in failed.collect()] == ["language=eng/broken.parquet"]
 
 
