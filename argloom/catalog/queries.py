@@ -439,7 +439,7 @@ def score_linear_rowwise(spark, sf):
 
 
 def score_linear_sharded(spark, sf):
-    model = C.LinearModel(_document_weights(spark, sf), max_broadcast=1 << 20)
+    model = C.LinearModel(_document_weights(spark, sf), max_broadcast=1 << 18)
     return C.add_margin(
         _sentences(spark, sf), T.tokens(F.col("text")), model, "score"
     ).select(*KEY, "score")

@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from argloom.functions import text as T
-from argloom.functions.linear import list_margin, nested_margins
+from argloom.functions.linear import list_margin, nested_margins, weight_arrays
 from argloom.functions.probability import argmax, label_of, sigmoid, softmax
 from argloom.operators.training import MICRO
 from argloom.schemas import COMPONENT_LABELS
 from argloom.session import materialize
 
-# Most bytes of one broadcast lookup table, and a rough cost of one entry besides its word.
+# Most bytes of one broadcast lookup table, and the bytes of one entry.
 MAX_BROADCAST = 256 << 20
-_ENTRY = 120
+_ENTRY = 16
 
 
 class LinearModel:
@@ -39,10 +39,7 @@ class LinearModel:
 
     @cached_property
     def n_shards(self) -> int:
-        size = self.weights.agg(
-            F.coalesce(F.sum(F.octet_length("token") + _ENTRY), F.lit(0))
-        ).first()[0]
-        return max(1, -(-size // self.max_broadcast))
+        return max(1, -(-self.weights.count() * _ENTRY // self.max_broadcast))
 
     @cached_property
     def _only_shard(self) -> Broadcast:
@@ -50,7 +47,7 @@ class LinearModel:
 
     def _broadcast(self, weights: DataFrame) -> Broadcast:
         table = weights.toArrow()
-        lookup = dict(zip(table["token"].to_pylist(), table["weight"].to_pylist()))
+        lookup = weight_arrays(table["token"].to_pylist(), table["weight"].to_pylist())
         return self.weights.sparkSession.sparkContext.broadcast(lookup)
 
     def shards(self) -> Iterator[Broadcast]:
