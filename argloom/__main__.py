@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from argloom.operators.scoring import LinearModel
 from argloom.plans.mine import mine_arguments
 from argloom.plans.preprocess import preprocess_files
 from argloom.plans.score import score_files
 from argloom.plans.train import train_detector
-from argloom.session import build_session
+from argloom.session import build_session, drop_scratch
 from argloom.sources import models, sinks
 from argloom.sources.corpus import scan_corpus
 from argloom.sources.labelled import scan_labelled
@@ -66,6 +66,13 @@ def show(report: DataFrame | None) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(f"argloom-{args.job}")
+    try:
+        run(spark, args)
+    finally:
+        drop_scratch(spark)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "preprocess":
         show(preprocess_files(spark, args.input_dir, args.output_dir, args.id, args.by))
     elif args.job == "score":

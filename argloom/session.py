@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "argloom", conf: dict[str, str] | None = None) -> SparkSession:
@@ -42,8 +43,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the scratch root."""
-    return f"{scratch_root(spark)}/argloom/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the scratch root; :func:`drop_scratch` removes what is there."""
+    path = f"{scratch_root(spark)}/argloom/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this application. Tables read from them are gone after that."""
+    context = spark.sparkContext
+    for path in _MADE.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -237,6 +237,16 @@ class _Session:
         self.sparkContext = type("Context", (), {"master": master, "applicationId": f"test-{master}"})
 
 
+def test_scratch_is_removed(spark):
+    kept = N._MADE.pop(spark.sparkContext.applicationId, [])
+    table = N.materialize(spark.range(3), "here")
+    path = N._MADE[spark.sparkContext.applicationId][0]
+    assert table.count() == 3 and O.exists(spark, path)
+    N.drop_scratch(spark)
+    assert not O.exists(spark, path)
+    N._MADE[spark.sparkContext.applicationId] = kept
+
+
 def test_scratch_folder_follows_the_cluster(folder):
     shared = _Session("yarn", {"spark.checkpoint.dir": f"{folder}/shared/"})
     assert N.scratch_root(shared) == f"{folder}/shared"
