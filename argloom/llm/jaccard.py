@@ -14,7 +14,9 @@ counters of fixed size.
 A cell of a thousand near copies has half a million links, and one component. So
 links are found in three steps, each of which skips pairs that are connected
 already: within each node's largest cell, between one member of each component
-in a cell, and last all pairs that are still apart.
+in a cell, and last all pairs that are still apart. For the last step cells in
+which the same component is the largest are put together, since the pairs in
+them are mostly the same.
 """
 
 from __future__ import annotations
@@ -153,18 +155,41 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def local_links(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
-    """Enough links to connect whatever the members connect; equal labels are connected already."""
+def _linked_to(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """:func:`linked` for many sets at once."""
+    sizes = np.array([len(b) for b in others])
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    common = np.add.reduceat(a[place] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * common >= 75 * (len(a) + sizes - common)
+
+
+def local_links(
+    sets: list[np.ndarray], labels: np.ndarray, chunks: np.ndarray | None = None, first_tries: int = 6
+) -> list[tuple[int, int]]:
+    """Enough links to connect whatever the members connect; equal labels are connected already.
+
+    With ``chunks``, only pairs from different chunks are looked at.
+    """
     totals = np.array([len(s) for s in sets])
     label = np.unique(labels, return_inverse=True)[1]
     out = []
     for i, hits in surviving([count_vector(s) for s in sets], totals):
-        tried = hits[label[hits] != label[i]]
+        if chunks is not None:
+            hits = hits[chunks[hits] != chunks[i]]
         # Near sizes first: they are the likeliest to link.
-        for j in tried[np.argsort(-totals[tried], kind="stable")]:
-            if label[j] != label[i] and linked(sets[i], sets[j]):
-                out.append((i, int(j)))
-                label[label == label[j]] = label[i]
+        left = hits[np.argsort(-totals[hits], kind="stable")]
+        for tries in range(first_tries + 1):
+            left = left[label[left] != label[i]]
+            if not len(left):
+                break
+            tried = left[:1] if tries < first_tries else left
+            found = tried[_linked_to(sets[i], [sets[j] for j in tried])]
+            for j in found:
+                if label[j] != label[i]:
+                    out.append((i, int(j)))
+                    label[label == label[j]] = label[i]
+            left = left[len(tried) :]
     return out
 
 
@@ -193,58 +218,68 @@ def _numbers(column) -> np.ndarray:
     return np.frombuffer(column, dtype=np.uint64)
 
 
-def fixed_table(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
-    """The sum of one table of ``size`` counters per task, which ``add`` fills batch by batch.
+def fixed_table(df: DataFrame, slots_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """How often each of ``size`` slots is met by the arrays that ``slots_of`` yields for a batch.
 
-    The tables travel in parts, and Spark adds up each part; what reaches the
-    driver has the fixed size, whatever the input.
+    Tasks send the slots that they met, in parts, and Spark adds up each part;
+    what reaches the driver has the fixed size, whatever the input.
     """
-    parts = 64
+    parts = min(64, size)
     step = size // parts
-    schema = "part int, blob binary"
+    schema = "part int, slots binary, counts binary"
 
     def rows(table: dict[int, np.ndarray]) -> pa.RecordBatch:
-        blobs = [v.astype("<i8").tobytes() for v in table.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        met = {k: np.flatnonzero(v) for k, v in table.items()}
+        columns = [
+            pa.array(list(met), pa.int32()),
+            pa.array([v.astype("<i4").tobytes() for v in met.values()], pa.binary()),
+            pa.array([table[k][v].astype("<i8").tobytes() for k, v in met.items()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "slots", "counts"])
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int32)
         for batch in batches:
-            add(total, batch)
-        yield rows({k: total[k * step : (k + 1) * step] for k in range(parts) if total[k * step : (k + 1) * step].any()})
+            for slots in slots_of(batch):
+                np.add.at(total, slots, 1)
+        for k in range(parts):
+            own = total[k * step : (k + 1) * step]
+            if own.any():
+                yield rows({k: own})
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(blob.as_buffer(), dtype="<i8")
-                total[part] = total[part] + own if part in total else own.copy()
+            for part, slots, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = total.setdefault(part, np.zeros(step, dtype=np.int64))
+                own[np.frombuffer(slots.as_buffer(), "<i4")] += np.frombuffer(counts.as_buffer(), "<i8")
         yield rows(total)
 
     merged = df.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(merge, schema)
     table = np.zeros(size, dtype=np.int64)
     for row in merged.collect():
-        table[row["part"] * step : (row["part"] + 1) * step] += np.frombuffer(row["blob"], dtype="<i8")
+        at = np.frombuffer(row["slots"], "<i4").astype(np.int64) + row["part"] * step
+        table[at] += np.frombuffer(row["counts"], "<i8")
     return table
 
 
 def shingle_counters(texts: DataFrame) -> np.ndarray:
     """How many distinct shingles of documents fall on each counter, over all texts."""
 
-    def add(total, batch):
+    def slots(batch):
         for shingles in _sets(batch.column(0)):
-            np.add.at(total, (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            yield (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    return fixed_table(texts.select("text"), add, 1 << COUNTER_BITS)
+    return fixed_table(texts.select("text"), slots, 1 << COUNTER_BITS)
 
 
 def wanted_slots(nodes: DataFrame) -> np.ndarray:
     """A table of fixed size that is true at the slot of every wanted node, and at few others."""
 
-    def add(total, batch):
-        np.add.at(total, (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+    def slots(batch):
+        yield (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    return fixed_table(nodes.select("node"), add, 1 << SLOT_BITS) > 0
+    return fixed_table(nodes.select("node"), slots, 1 << SLOT_BITS) > 0
 
 
 def rarest(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -367,15 +402,7 @@ def _split(cells: DataFrame) -> DataFrame:
     return cells.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("node", "cell"), F.col("chunks")))
 
 
-def _pairs_of_chunks(cells: DataFrame) -> DataFrame:
-    """Each row once for every pair of chunks that it belongs to: ``cell, left, right, chunk, ...``."""
-    rows = _split(cells)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other)
-    return rows.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
-
-
-def alive_members(cells: DataFrame) -> DataFrame:
+def alive_members(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """``cell, node, n_shingles`` of the members for which some other member survives the bound.
 
     Members of a cell of several chunks all stay: the steps to come connect
@@ -393,59 +420,56 @@ def alive_members(cells: DataFrame) -> DataFrame:
                 kept = table.select(["cell", "node", "n_shingles"]).filter(pa.array(seen)).combine_chunks()
                 yield from kept.to_batches()
 
-    split = _split(cells)
+    # Cells are split before the vectors join them, so that vectors travel to their cells once.
+    split = materialize(_split(cells.join(nodes.select("node", "n_shingles"), "node")), "split")
     schema = "cell bigint, node bigint, n_shingles bigint"
-    small = _sorted_cells(split.where("chunks = 1").select("cell", "node", "n_shingles", "vector"), "cell")
+    small = split.where("chunks = 1").select("cell", "node").join(nodes, "node")
+    small = _sorted_cells(small.select("cell", "node", "n_shingles", "vector"), "cell")
     large = split.where("chunks > 1").select("cell", "node", "n_shingles")
     return small.mapInArrow(run, schema).unionByName(large)
 
 
-def links_within(rows: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect the members of each ``cell, chunk``; needs ``node, shingles, root``."""
+def _links(rows: DataFrame, keys: list[str], across: bool) -> DataFrame:
+    """Links ``a, b`` among the members ``node, shingles, root`` with equal keys.
+
+    With ``across`` the keys end in two chunks, and of members from both only
+    pairs from one to the other are looked at.
+    """
+    columns = [*keys, "node", "root", "shingles"] + ["chunk"] * across
 
     def run(batches):
-        for table in runs(batches, ["cell", "chunk"]):
+        for table in runs(batches, keys):
             nodes = table["node"].to_numpy()
             sets = [_numbers(s.as_buffer()) for chunk in table["shingles"].chunks for s in chunk]
-            pairs = np.array(local_links(sets, table["root"].to_numpy()), dtype=np.int64).reshape(-1, 2)
+            chunks = table["chunk"].to_numpy() if across and table["left"][0] != table["right"][0] else None
+            pairs = np.array(local_links(sets, table["root"].to_numpy(), chunks), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
-    return _sorted_cells(rows.select("cell", "chunk", "node", "shingles", "root"), "cell", "chunk").mapInArrow(run, "a bigint, b bigint")
-
+    return _sorted_cells(rows.select(*columns), *keys).mapInArrow(run, "a bigint, b bigint")
 
-def pairs_apart(cells: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of members with different roots that survive the bound; needs ``vector, n_shingles, root``."""
 
-    def run(batches):
-        for table in runs(batches, ["cell", "left", "right"]):
-            nodes, roots, chunk = (table[c].to_numpy() for c in ("node", "root", "chunk"))
-            left, right = table["left"][0].as_py(), table["right"][0].as_py()
-            out = [np.zeros((0, 2), np.int64)]
-            for i, hits in surviving(_vectors(table), table["n_shingles"].to_numpy()):
-                hits = hits[roots[hits] != roots[i]]
-                if left != right:  # pairs within a chunk are met at (chunk, chunk)
-                    hits = hits[chunk[hits] != chunk[i]]
-                if len(hits):
-                    pair = np.stack([np.minimum(nodes[hits], nodes[i]), np.maximum(nodes[hits], nodes[i])], axis=1)
-                    out.append(pair)
-            out = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+def links_within(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect the members ``node, root`` of each ``cell, chunk``."""
+    return _links(rows.join(sets, "node"), ["cell", "chunk"], across=False)
 
-    placed = _sorted_cells(_pairs_of_chunks(cells), "cell", "left", "right")
-    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
 
+def links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect what is apart in each cell of ``cell, node, n_shingles, root``.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link."""
+    Every pair of chunks of a large cell is compared.
+    """
+    rows = _split(members)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    rows = rows.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
+    return _links(rows.join(sets, "node"), ["cell", "left", "right"], across=True)
 
-    def run(batches):
-        for batch in batches:
-            keep = [linked(_numbers(x.as_buffer()), _numbers(y.as_buffer())) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
+def together(members: DataFrame) -> DataFrame:
+    """Cells in which the same root has the most members as one cell of all their members."""
+    counts = members.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("_main"))
+    joined = members.join(main, "cell").select(F.col("_main").alias("cell"), "node", "n_shingles", "root")
+    return joined.distinct()
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -476,6 +500,10 @@ def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` of every row: the smallest id reachable by links.
 
@@ -497,38 +525,34 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .dropDuplicates(["node"]),
         "nodes",
     )
-    alive = materialize(alive_members(cells.join(nodes, "node")), "alive")
+    alive = materialize(alive_members(cells, nodes), "alive")
     sets = materialize(sets_of(named, alive.select("node").distinct()), "sets")
 
     # First step: every node in its largest cell.
     best = _split(alive).groupBy("node").agg(F.max_by(F.struct("cell", "chunk"), F.struct("size", "cell")).alias("best"))
-    first = best.select("node", "best.*", F.col("node").alias("root")).join(sets, "node")
-    links = materialize(links_within(first), "links1")
+    first = best.select("node", "best.*", F.col("node").alias("root"))
+    links = materialize(links_within(first, sets), "links1")
     roots = components(links)
 
-    def rooted(df):
-        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
     def apart(df):
+        """Members with their roots, of the cells that hold several."""
+        df = materialize(_rooted(df, roots), "rooted")
         mixed = df.groupBy("cell").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h")
         return df.join(mixed.select("cell"), "cell", "left_semi")
 
     # Second step: one member of each component in a cell.
-    members = materialize(apart(rooted(alive)), "members")
-    one = members.groupBy("cell", "root").agg(
+    one = apart(alive).groupBy("cell", "root").agg(
         F.min_by(F.struct("node", "n_shingles"), F.xxhash64("node", "cell")).alias("one")
     )
-    second = _split(one.select("cell", "root", "one.*")).select("cell", "chunk", "node", "root").join(sets, "node")
-    links = links.unionByName(materialize(links_within(second), "links2"))
+    second = _split(one.select("cell", "root", "one.*")).select("cell", "chunk", "node", "root")
+    links = links.unionByName(materialize(links_within(second, sets), "links2"))
     roots = components(links)
 
     # Third step: all pairs that are still apart.
-    members = apart(rooted(alive)).join(nodes.select("node", "vector"), "node")
-    pairs = materialize(pairs_apart(members), "pairs")
-    links = links.unionByName(materialize(verified(pairs, sets), "links3"))
+    links = links.unionByName(materialize(links_across(together(apart(alive)), sets), "links3"))
     roots = components(links)
 
-    smallest = rooted(known.groupBy("node").agg(F.min("doc_id").alias("_doc")))
+    smallest = _rooted(known.groupBy("node").agg(F.min("doc_id").alias("_doc")), roots)
     lowest = smallest.groupBy("root").agg(F.min("_doc").alias("component_id"))
     by_node = smallest.join(lowest, "root").select("node", "component_id")
     linked_docs = known.select("doc_id", "n_shingles", "node").join(by_node, "node").drop("node")
