@@ -41,7 +41,7 @@ TEMPLATES = [
 ]
 _HINT = r"(?i)licen[sc]e|spdx|all rights reserved|permission is hereby granted|redistribution and use|public domain"
 _LONG = 400  # longer lines are read through windows around each hint
-_WINDOW = rf"(?s).{{0,120}}(?:{_HINT}).{{0,200}}"
+_WINDOW = rf"(?s).{{0,40}}(?:{_HINT}).{{0,90}}"
 
 
 def passages(text: Column) -> Column:
@@ -63,13 +63,18 @@ def terms(text: Column) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.contains(" ")))
 
 
+def _damped(tf: str) -> Column:
+    """Term frequencies on a logarithmic scale, so that repetition around a notice does not drown it."""
+    return 1 + F.ln(tf)
+
+
 def _template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """``license, template, term, idf, weight``: unit vectors; the table has the templates' size."""
     rows = spark.createDataFrame([(k, *row) for k, row in enumerate(templates)], "template int, license string, notice string")
     each = rows.select("template", "license", F.explode(terms(F.col("notice"))).alias("term"))
     counts = each.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     idf = counts.groupBy("term").agg((F.log((1 + F.lit(len(templates))) / (1 + F.countDistinct("template"))) + 1).alias("idf"))
-    weighted = counts.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    weighted = counts.join(idf, "term").withColumn("weight", _damped("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template")))
     return weighted.select("template", "license", "term", "idf", (F.col("weight") / norm).alias("weight"))
 
@@ -81,7 +86,7 @@ def best_templates(found: DataFrame, templates: list[tuple[str, str]], least: fl
     each = found.withColumn("place", F.monotonically_increasing_id()).select("row", "place", F.explode(terms(F.col("passage"))).alias("term"))
     counts = each.groupBy("row", "place", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    weighted = counts.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
+    weighted = counts.join(idf, "term", "left").withColumn("w", _damped("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
     norms = weighted.groupBy("row", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(weights, "term").groupBy("row", "place", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["row", "place"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
