@@ -364,6 +364,8 @@ ORACLE: dict[str, str] = {
           CASE WHEN is_arg = 0 THEN 0 WHEN component = 'claim' THEN 2 ELSE 1 END AS prediction
           FROM comp JOIN labels USING (doc_id)),{confusion_scores("three")}
         SELECT round(sum(f1) / 2, 6) AS f1 FROM cls WHERE class IN (1, 2)""",
+    "train_classifier": f"""WITH {SENT},{BAL} SELECT count(*) AS n, sum(label)::BIGINT AS n_arguments,
+        true AS beats_guessing FROM bal WHERE "set" = 'train'""",
     "evaluate_splits": f'WITH {SPLIT_METRICS} SELECT * FROM wide',
     "incremental_sentences": f"WITH {SENT} SELECT * FROM sent",
     "preprocess_corpus": f"""WITH {SENT} SELECT doc_id AS id, lang AS language, sent_idx, sent.text,

@@ -122,24 +122,27 @@ def train_classifier(
     text: str = "sentence",
     label: str = "label",
     reg_params: Sequence[float] = (0.01,),
-    features: str = "hash",
-    size: int = 1 << 18,
+    features: str = "count",
+    size: int | None = None,
     max_iter: int = 20,
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit a text classifier; with several settings keep the best by validation F1.
 
-    ``features="hash"`` needs no vocabulary. ``features="count"`` keeps the
-    ``size`` most frequent words. Either way a model holds at most ``size``
-    weights per class. Returns the model and the table of trials.
+    ``features="count"`` has a feature for every word of the training rows;
+    ``features="hash"`` merges words into ``size`` buckets, for when that many
+    weights are too many. The solver stops after ``max_iter`` steps at the
+    latest: ``model.stages[-1].summary.totalIterations`` tells whether it did.
+    Returns the model and the table of trials.
     """
     def with_tokens(df: DataFrame) -> DataFrame:
         return df.withColumn("tokens", T.tokens(F.col(text)))
 
+    train = with_tokens(train)
     if features == "hash":
-        counter = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=size)
+        counter = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=size or 1 << 18)
     else:
-        counter = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=size)
-    train = with_tokens(train)
+        words = train.select(F.explode("tokens").alias("token")).distinct().count()
+        counter = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max(1, words))
     models, trials = [], []
     for trial, reg in enumerate(reg_params):
         stages = [
