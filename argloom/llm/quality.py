@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from argloom.llm.words import (
     buffers,
@@ -130,7 +130,7 @@ def _discount(level: DataFrame) -> DataFrame:
     """The three discounts of each language, from how many n-grams occur once to four times."""
     n = [F.sum((F.col("n") == k).cast("bigint")).alias(f"_n{k}") for k in range(1, 5)]
     found = level.groupBy("lang").agg(*n, F.count("*").alias("_types"))
-    y = F.col("_n1") / (F.col("_n1") + 2 * F.col("_n2"))
+    y = F.coalesce(F.try_divide(F.col("_n1"), F.col("_n1") + 2 * F.col("_n2")), F.lit(0.0))
     out = found
     for k in (1, 2, 3):
         value = F.lit(k) - (k + 1) * y * F.col(f"_n{k + 1}") / F.col(f"_n{k}")
@@ -140,25 +140,26 @@ def _discount(level: DataFrame) -> DataFrame:
 
 
 def _smooth(level: DataFrame, lower: DataFrame | None) -> DataFrame:
-    """``lang, gram, n, p, context, gamma``: interpolated probabilities of one order."""
-    context = F.shiftrightunsigned("gram", 16)
-    if lower is None:
-        context = F.lit(0).cast("bigint")
-    per = Window.partitionBy("lang", "context")
+    """``lang, gram, n, p, context, gamma``: interpolated probabilities of one order.
+
+    Contexts are summed up by (language, context) before anything is joined by
+    language alone, so that no step deals its rows out over a few languages only.
+    """
+    context = F.lit(0).cast("bigint") if lower is None else F.shiftrightunsigned("gram", 16)
+    level = level.withColumn("context", context)
+    kinds = [F.sum((F.col("n") == k).cast("bigint")).alias(f"_n{k}") for k in (1, 2)]
+    kinds.append(F.sum((F.col("n") > 2).cast("bigint")).alias("_n3"))
+    contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("_total"), *kinds)
+    held_back = sum(F.col(f"_d{k}") * F.col(f"_n{k}") for k in (1, 2, 3))
+    contexts = contexts.join(_discount(level), "lang").withColumn("gamma", held_back / F.col("_total"))
+    rows = level.join(contexts, ["lang", "context"])
     d = F.when(F.col("n") == 1, F.col("_d1")).when(F.col("n") == 2, F.col("_d2")).otherwise(F.col("_d3"))
-    rows = (
-        level.join(_discount(level), "lang")
-        .withColumn("context", context)
-        .withColumn("d", d)
-        .withColumn("total", F.sum("n").over(per))
-        .withColumn("gamma", F.sum("d").over(per) / F.col("total"))
-    )
-    own = (F.col("n") - F.col("d")) / F.col("total")
+    own = (F.col("n") - d) / F.col("_total")
+    out = ["lang", "gram", "n", "context", "gamma"]
     if lower is None:
-        return rows.select("lang", "gram", "n", (own + F.col("gamma") / (F.col("_types") + 1)).alias("p"), "context", "gamma")
-    return rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower")), [
-        "lang", "tail"
-    ]).select("lang", "gram", "n", (own + F.col("gamma") * F.col("lower")).alias("p"), "context", "gamma")
+        return rows.select(*out, (own + F.col("gamma") / (F.col("_types") + 1)).alias("p"))
+    shorter = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower"))
+    return rows.join(shorter, ["lang", "tail"]).select(*out, (own + F.col("gamma") * F.col("lower")).alias("p"))
 
 
 def _tail(k: int) -> Column:
@@ -352,7 +353,7 @@ def judge(measured: DataFrame, key: str = "doc_id", reach: float = 5.0, steady:
     bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("_q"))
     wide = F.greatest(reach * (F.col("_q")[1] - F.col("_q")[0]), F.lit(0.05))
     bands = bands.select(F.col("lang").alias("_lang"), "_q", wide.alias("_wide"))
-    scatter = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(steady)) / F.col("n_chars")))
+    scatter = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(steady)) / F.greatest("n_chars", F.lit(1))))
     joined = (
         rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("_low", F.col("_q")[0] - scatter * F.col("_wide"))
