@@ -73,8 +73,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def groups_for(size: int) -> int:
-    """Groups of a count vector: a power of two of at least half the set, so that counts stay small."""
-    return max(16, 1 << max(0, (size - 1) // 2).bit_length())
+    """Groups of a count vector: a power of two of at least a quarter of the set, so that counts stay small."""
+    return max(16, 1 << max(0, (size - 1) // 4).bit_length())
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -309,13 +309,16 @@ def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame
             k, n, at = k[order], n[order], at[order]
             firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             ends = np.append(firsts[1:], len(at))
+            # Nodes as places in a short list: they repeat, and small numbers take little room.
+            lists = [np.unique(n[a:z], return_inverse=True) for a, z in zip(firsts, ends)]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(at[firsts], pa.int32()),
                     pa.array([k[a:z].tobytes() for a, z in zip(firsts, ends)], pa.binary()),
-                    pa.array([n[a:z].tobytes() for a, z in zip(firsts, ends)], pa.binary()),
+                    pa.array([own.tobytes() for own, _ in lists], pa.binary()),
+                    pa.array([place.astype("<i4").tobytes() for _, place in lists], pa.binary()),
                 ],
-                names=["range", "keys", "nodes"],
+                names=["range", "keys", "nodes", "places"],
             )
 
         for batch in batches:
@@ -340,8 +343,9 @@ def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame
     def meet(batches):
         keys: dict[int, list] = {}
         for batch in batches:
-            for r, k, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                keys.setdefault(r, []).append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)))
+            for r, *blobs in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3))):
+                k, n, place = (np.frombuffer(b.as_buffer(), kind) for b, kind in zip(blobs, (np.uint64, np.int64, "<i4")))
+                keys.setdefault(r, []).append((k, n[place]))
         for r in list(keys):
             k, n = (np.concatenate(x) for x in zip(*keys.pop(r)))
             order = np.lexsort((n, k))
@@ -361,7 +365,7 @@ def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame
                     part = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(cells[part]), pa.array(n[rows[part]])], names=["cell", "node"])
 
-    packed = texts.select("text").mapInArrow(emit, "range int, keys binary, nodes binary")
+    packed = texts.select("text").mapInArrow(emit, "range int, keys binary, nodes binary, places binary")
     met = packed.repartition(ranges, "range").mapInArrow(meet, "cell bigint, node bigint")
     return met.distinct()
 
