@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 64  # every so many high parts, the number of elements before is kept
 _U = np.uint64
 
 
@@ -54,31 +53,33 @@ class EliasFano:
         width = max(0, (universe // max(1, n)).bit_length() - 1)
         high = (values >> _U(width)).astype(np.int64)
         last = int(universe >> width) + 1
-        bits = np.zeros(-(-(n + last + 1) // 64) * 64 + 128, dtype=bool)
+        bits = np.zeros((-(-(n + last + 1) // 64) + 2) * 64, dtype=bool)
         bits[high + np.arange(n)] = True
         words = np.packbits(bits, bitorder="little").view(np.uint64)
-        before = np.searchsorted(high, np.arange(0, last + SAMPLE + 1, SAMPLE)).astype(np.int64)
+        before = np.cumsum(64 - np.bitwise_count(words).astype(np.int64))
+        before = np.concatenate([[0], before[:-1]])  # zeros before each word
         low = _pack(values & _U((1 << width) - 1), width) if width else np.zeros(2, np.uint64)
         return EliasFano(n, width, low, words, before)
 
     def _below(self, high: np.ndarray) -> np.ndarray:
-        """How many elements have a smaller high part: the zeros before it, counted on from a sample."""
-        block = high // SAMPLE
-        count = self.before[block]
-        at = count + block * SAMPLE
-        left = high - block * SAMPLE
-        todo = np.flatnonzero(left > 0)
-        while len(todo):
-            zeros = ~_window(self.high, at[todo])
-            found = np.bitwise_count(zeros).astype(np.int64)
-            here = left[todo] <= found
-            done = todo[here]
-            at[done] += _nth_set(zeros[here], left[done] - 1) + 1
-            left[done] = 0
-            todo, found = todo[~here], found[~here]
-            at[todo] += 64
-            left[todo] -= found
-        return at - high
+        """How many elements have a smaller high part: the ones before that many zeros.
+
+        The word with the last of these zeros is found in the directory, so long
+        runs of ones, the successors of a frequent word, cost nothing.
+        """
+        word = np.maximum(np.searchsorted(self.before, high, side="left") - 1, 0)
+        left = high - self.before[word]
+        place = _nth_set(~self.high[word], np.maximum(left - 1, 0)) + 1
+        return word * 64 + np.where(left > 0, place, 0) - high
+
+    def _equal_high(self, high: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The end of the elements with each high part, given where they start."""
+        ones = _window(self.high, first + high)
+        run = np.bitwise_count((~ones & (ones + _U(1))) - _U(1)).astype(np.int64)
+        long = np.flatnonzero(run >= 64)
+        end = first + run
+        end[long] = self._below(high[long] + 1)
+        return end
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -89,7 +90,8 @@ class EliasFano:
         """Place of the first element not below each value, and whether it equals the value."""
         values = values.astype(np.uint64)
         high = (values >> _U(self.width)).astype(np.int64)
-        first, last = self._below(high), self._below(high + 1)
+        first = self._below(high)
+        last = self._equal_high(high, first)
         end = last.copy()
         low = values & _U((1 << self.width) - 1)
         todo = np.flatnonzero(first < last)

@@ -106,8 +106,12 @@ class Level:
         return int(self.bases[-1])
 
     def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for k in np.unique(shard):
-            yield int(k), np.flatnonzero(shard == k)
+        """The rows of each shard; sorted shards need no search."""
+        order = slice(None) if (np.diff(shard) >= 0).all() else np.argsort(shard, kind="stable")
+        rows = np.arange(len(shard))[order]
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        for own in np.split(rows, cuts) if len(rows) else []:
+            yield int(shard[own[0]]), own
 
     def _sequence(self, k: int) -> EliasFano:
         a = _read(self.paths[k])
@@ -203,27 +207,29 @@ class Trie:
     def score(self, hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of every token (0 at the starts), and the vocabulary's counts (0: unknown)."""
         nodes = self.nodes(hashes, start)
-        known = nodes[0] >= 0
         counts = np.zeros(len(hashes), dtype=np.int64)
-        own, _, inverse = distinct(nodes[0][known])
-        counts[known] = self.vocabulary.counts(own)[inverse]
-        log10 = np.full(len(hashes), self._unknown())
-        log10[known] = self.vocabulary.log_probs(own)[inverse]
-        for k, level in enumerate(self.levels[1:], 1):
-            context = np.full(len(hashes), -1, dtype=np.int64)
-            context[1:] = nodes[k - 1][:-1]
-            context[start] = -1
-            seen = context >= 0
+        known = np.flatnonzero(nodes[0] >= 0)
+        counts[known] = self.vocabulary.counts(nodes[0][known])
+        log10 = np.zeros(len(hashes))
+        left = np.flatnonzero(~start)
+        # From the longest n-grams down: only tokens that are not found go on, with their context's weight.
+        for k in range(len(self.levels) - 1, -1, -1):
+            level, node = self.levels[k], nodes[k][left]
+            hit = left[node >= 0]
+            log10[hit] += level.log_probs(nodes[k][hit])
+            left = left[node < 0]
+            if not k:
+                log10[left] += self._unknown()
+                break
+            context = nodes[k - 1][left - 1]
+            # A start is a context of one word and of no more.
+            seen = (context >= 0) & ((k == 1) | ~start[left - 1])
             own, _, inverse = distinct(context[seen])
             types = level.first_of(own + 1) - level.first_of(own)
             total = self.levels[k - 1].counts(own)
             # A context that only ends texts has no successors, and leaves the shorter one as it is.
             weight = np.where(types > 0, types / np.maximum(total + types, 1), 1.0)
-            log10[seen] += np.log10(weight)[inverse]
-            hit = nodes[k] >= 0
-            own, _, inverse = distinct(nodes[k][hit])
-            log10[hit] = level.log_probs(own)[inverse]
-        log10[start] = 0.0
+            log10[left[seen]] += np.log10(weight)[inverse]
         return log10, counts
 
 
