@@ -21,7 +21,7 @@ from argloom.llm.words import buffers, distinct, mix, per_row, row_groups, sums
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Code points that go through the arrays at once, and known pre-tokens after which the memory starts afresh.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 REMEMBERED = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")

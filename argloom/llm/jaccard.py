@@ -61,7 +61,7 @@ def doc_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     data, bounds = buffers(column)
-    for a, z in row_groups(bounds, 4 * BLOCK):
+    for a, z in row_groups(bounds, BLOCK):
         own = bounds[a : z + 1]
         yield from doc_sets(data[own[0] : own[-1]], own - own[0])
 
@@ -333,7 +333,7 @@ def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame
                 keys.append(own)
                 nodes.append(np.full(len(own), node, dtype=np.int64))
                 size += len(own)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield out()
                     keys, nodes, size = [], [], 0
                     seen.clear()

@@ -25,7 +25,7 @@ from argloom.session import materialize
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 # ISO 639 codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fo", "fy", "lb", "yi"],

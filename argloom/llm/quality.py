@@ -35,9 +35,9 @@ from argloom.session import materialize
 SLOT_BITS = 23
 ORDER = 4  # characters of 16 bits, so that the longest n-gram is one whole number of 64 bits
 START = 0xFFFF
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 # Distinct n-grams that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
