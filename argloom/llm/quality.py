@@ -3,7 +3,9 @@
 The model is an interpolated modified Kneser-Ney model of characters, one per
 language. Spark counts the longest n-grams over all texts; the shorter ones are
 continuation counts of the longer. Probabilities are worked out with joins and
-windows, and end as arrays sorted by hash. A hash has ``SLOT_BITS`` bits, so no
+windows, and end as arrays sorted by hash. Verdicts come from models of the
+texts that are not suspicious (:func:`sound`), so that frequent junk does not
+look likely. A hash has ``SLOT_BITS`` bits, so no
 table has more than ``2**SLOT_BITS`` entries whatever the corpus is; that is the
 bound under which the arrays are sent to every worker (12 bytes an entry, 8
 tables). N-grams that share a slot share the mean of their probabilities.
@@ -75,8 +77,23 @@ def _by_language(batch: pa.RecordBatch) -> list[tuple[str, np.ndarray]]:
     return [(str(lang), np.flatnonzero(langs == lang)) for lang in sorted(set(langs))]
 
 
-def count_grams(df: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over all texts of a table with ``lang`` and ``text``."""
+def passes(n_words, n_repeat_words):
+    """Whether texts pass the counts; for arrays and for columns."""
+    return (n_words >= 10) & (100 * n_repeat_words <= 20 * n_words)
+
+
+def sound(n_words, n_repeat_words, n_symbols):
+    """Whether texts pass the counts and have at most one symbol in 20 words; for arrays and for columns."""
+    return passes(n_words, n_repeat_words) & (20 * n_symbols <= n_words)
+
+
+def count_grams(df: DataFrame, trusted: bool = False) -> DataFrame:
+    """``lang, gram, n, n_sound`` over the texts of a table with ``lang`` and ``text``.
+
+    ``trusted`` leaves out texts that fail the counts, and ``n_sound`` are the
+    n-grams of :func:`sound` texts among the others; without it all texts count
+    and are taken for sound.
+    """
 
     def run(batches):
         held: dict[str, list] = {}
@@ -87,7 +104,7 @@ def count_grams(df: DataFrame) -> DataFrame:
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-            return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+            return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
 
         def out():
             for lang in held:
@@ -97,9 +114,10 @@ def count_grams(df: DataFrame) -> DataFrame:
                     columns = [
                         pa.array([lang] * len(keys[part]), pa.string()),
                         pa.array(keys[part].view(np.int64)),
-                        pa.array(counts[part]),
+                        pa.array(np.ascontiguousarray(counts[part, 0])),
+                        pa.array(np.ascontiguousarray(counts[part, 1])),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n", "n_sound"])
             held.clear()
 
         for batch in batches:
@@ -107,12 +125,21 @@ def count_grams(df: DataFrame) -> DataFrame:
                 data, bounds = buffers(batch.column("text").take(pa.array(rows)))
                 for a, z in row_groups(bounds, BLOCK):
                     own = bounds[a : z + 1]
-                    grams = np.sort(_grams(*code_points(data[own[0] : own[-1]], own - own[0])))
-                    if not len(grams):
-                        continue
-                    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-                    held.setdefault(lang, []).append((grams[first], np.diff(np.append(first, len(grams)))))
-                    size += len(first)
+                    piece, own = data[own[0] : own[-1]], own - own[0]
+                    points, at = code_points(piece, own)
+                    grams, good, usable = _grams(points, at), np.ones(z - a, bool), np.ones(z - a, bool)
+                    if trusted:
+                        counts = text_counts(piece, own)
+                        usable = passes(counts["n_words"], counts["n_repeat_words"])
+                        good = sound(counts["n_words"], counts["n_repeat_words"], counts["n_symbols"])
+                    for some, weights in ((good, (1, 1)), (usable & ~good, (1, 0))):
+                        part = np.sort(grams[np.repeat(some, np.diff(at))])
+                        if not len(part):
+                            continue
+                        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                        n = np.diff(np.append(first, len(part)))
+                        held.setdefault(lang, []).append((part[first], np.outer(n, weights)))
+                        size += len(first)
                     if size > HELD:
                         held.update({k: [merged(k)] for k in list(held)})
                         size = sum(len(v[0][0]) for v in held.values())
@@ -122,8 +149,8 @@ def count_grams(df: DataFrame) -> DataFrame:
         yield from out()
 
     source = df.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = source.mapInArrow(run, "lang string, gram bigint, n bigint")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "lang string, gram bigint, n bigint, n_sound bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_sound").alias("n_sound"))
 
 
 def _discount(level: DataFrame) -> DataFrame:
@@ -200,14 +227,21 @@ class LanguageModels:
         return out[inverse]
 
 
-def fit_models(df: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModels:
+def fit_models(df: DataFrame, lang: str = "lang", text: str = "text", trusted: bool = False) -> LanguageModels:
     """Models of all languages of a table, counted over all its texts.
 
+    With ``trusted``, only over the :func:`sound` ones; in a language where these
+    have less than half the characters of the texts that pass the counts (source
+    code, say), symbols are nothing suspicious and all that pass are taken.
+
     A null language is a language of its own; null and empty texts add nothing;
     an empty table gives empty models. Only the two columns are read.
     """
     source = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    levels = {ORDER: materialize(count_grams(source), "grams")}
+    counted = materialize(count_grams(source, trusted), "grams")
+    clear = counted.groupBy("lang").agg((2 * F.sum("n_sound") >= F.sum("n")).alias("_clear"))
+    n = F.when(F.col("_clear"), F.col("n_sound")).otherwise(F.col("n"))
+    levels = {ORDER: counted.join(F.broadcast(clear), "lang").select("lang", "gram", n.alias("n")).where("n > 0")}
     for k in range(ORDER, 1, -1):
         shorter = levels[k].select("lang", _tail(k).alias("gram"))
         levels[k - 1] = materialize(shorter.groupBy("lang", "gram").agg(F.count("*").alias("n")), f"grams{k - 1}")
@@ -339,18 +373,24 @@ def judge(measured: DataFrame, key: str = "doc_id", reach: float = 5.0, steady:
     """Add ``base_failed``, ``perplexity``, the language's ``low`` and ``high`` band and ``kept``.
 
     The band of a language runs ``reach`` quartile distances beyond the
-    quartiles of the log perplexities of its documents that pass the counts; a
-    language whose documents are all alike has a band of at least 5 % about
-    them. Below ``steady`` characters a mean over so few scatters more, and the
+    quartiles of the log perplexities of the documents that trusted models are
+    fitted on; a language whose documents are all alike has a band of at least
+    5 % about them. Below ``steady`` characters a mean over so few scatters more, and the
     band widens with one over the square root of the length. A document outside
     its band is rejected.
     """
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = ~passes(F.col("n_words"), F.col("n_repeat_words"))
     rows = measured.withColumn("base_failed", failed).withColumn(
         "_log", F.when(F.col("n_chars") > 0, -F.col("log_prob") / F.col("n_chars"))
     )
-    quartiles = F.percentile_approx("_log", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("_q"))
+    good = sound(F.col("n_words"), F.col("n_repeat_words"), F.col("n_symbols"))
+
+    def quartiles(value: Column) -> Column:
+        return F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.75)), 10000)
+
+    clear = 2 * F.sum(F.when(good, F.col("n_chars")).otherwise(0)) >= F.sum("n_chars")
+    of_sound, of_all = quartiles(F.when(good, F.col("_log"))), quartiles(F.col("_log"))
+    bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(F.when(clear, of_sound).otherwise(of_all).alias("_q"))
     wide = F.greatest(reach * (F.col("_q")[1] - F.col("_q")[0]), F.lit(0.05))
     bands = bands.select(F.col("lang").alias("_lang"), "_q", wide.alias("_wide"))
     scatter = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(steady)) / F.greatest("n_chars", F.lit(1))))
@@ -372,11 +412,11 @@ def judge(measured: DataFrame, key: str = "doc_id", reach: float = 5.0, steady:
 
 
 def quality_rules(df: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", reach: float = 5.0) -> DataFrame:
-    """Counts, perplexity, band and verdict of every row, models and bands taken from the same table.
+    """Counts, perplexity, band and verdict of every row, models and bands taken from the sound texts of the same table.
 
     Null or empty text has no words, fails the counts and is not kept. Null
     languages share one model. Rows with equal keys are judged one by one. An
     empty table gives an empty result. Other columns are not read.
     """
-    models = fit_models(df, lang, text)
+    models = fit_models(df, lang, text, trusted=True)
     return judge(materialize(measure(df, models, key, lang, text), "measured"), key, reach)

@@ -126,6 +126,27 @@ def test_bands_reject_both_ends(spark):
     assert [got[i]["base_failed"] for i in (200, 201, 202, 203)] == [False, False, True, True]
 
 
+def test_labelled_junk_falls_and_clean_texts_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = rows_of(Q.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")))
+    passed = {k: r for k, r in got.items() if not r["base_failed"]}
+    symbols = [r["kept"] for r in passed.values() if 20 * r["n_symbols"] > r["n_words"]]
+    clean = [r["kept"] for k, r in passed.items() if labels.get(k) == 1]
+    assert len(symbols) > 40 and sum(symbols) <= 0.02 * len(symbols)
+    assert len(clean) > 200 and sum(clean) >= 0.99 * len(clean)
+
+
+def test_symbols_are_no_junk_where_most_texts_have_them(spark):
+    # In "xx" texts with symbols are what is usual, in "yy" a single one is.
+    code = ["if (a|b) & c then $%d else #%s {*p = &q + $z} while <x|y> %% end | next & last" % (k % 7, "abc"[k % 3]) for k in range(40)]
+    prose = ["the quick brown fox number %d jumps over the lazy dog and runs away into the wide green wood" % (k % 7) for k in range(40)]
+    rows = [(k, t, "xx") for k, t in enumerate(code)] + [(100 + k, t, "yy") for k, t in enumerate(prose)]
+    got = rows_of(Q.quality_rules(spark.createDataFrame([*rows, (200, code[0], "yy")], "doc_id int, text string, lang string")))
+    assert not got[200]["base_failed"]
+    assert all(r["kept"] == (k != 200) for k, r in got.items())
+
+
 def test_awkward_rows(awkward, nothing):
     got = Q.quality_rules(awkward).collect()
     assert len(got) == len(ROWS)
