@@ -1,7 +1,9 @@
 """Licences of files: what a file states itself, or else what its directories state.
 
 Passages that speak of a licence are compared with templates by the cosine of
-their TF-IDF vectors. A file without a statement of its own inherits from the
+their TF-IDF vectors. Beside whole lines, passages are windows that lie about a
+hint as a template lies about its own and have as many words, so the words around
+a notice do not weigh against it. An SPDX tag is taken as it stands. A file without a statement of its own inherits from the
 nearest directory above it that has a licence file. Directories are joined, not
 files, and paths are joined by equality with each of their ancestors.
 """
@@ -9,7 +11,10 @@ files, and paths are joined by equality with each of their ancestors.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from argloom.session import materialize
@@ -39,9 +44,15 @@ TEMPLATES = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
     ("proprietary", "Copyright. All rights reserved"),
 ]
-_HINT = r"(?i)licen[sc]e|spdx|all rights reserved|permission is hereby granted|redistribution and use|public domain"
+# Words of a hint may stand in lines that follow each other, with comment marks between.
+_HINT = r"(?i)licen[sc]e|spdx|all rights reserved|permission is hereby granted|redistribution and use|public domain".replace(" ", r"\W{1,9}")
 _LONG = 400  # longer lines are read through windows around each hint
 _WINDOW = rf"(?s).{{0,40}}(?:{_HINT}).{{0,90}}"
+_REACH = 400  # characters on either side of a hint from which windows take their words
+_HINTS = re.compile(_HINT, re.ASCII)
+_GAP = re.compile(r"[^\w.]+|_|\.(?!\d)")
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?\)*"
+_TAG = rf"(?i)SPDX-License-Identifier:[\x20\t]*({_ID}(?:[\x20\t]+(?-i:AND|OR|WITH)[\x20\t]+{_ID})*)"
 
 
 def passages(text: Column) -> Column:
@@ -56,6 +67,86 @@ def passages(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.flatten(cut)).otherwise(F.array().cast("array<string>"))
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in _GAP.split(text.lower()) if w]
+
+
+def _counts(words: list[str]) -> Counter:
+    return Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
+
+
+class Windows:
+    """For a text, the window around a hint that is most like a template."""
+
+    def __init__(self, templates: list[tuple[str, str]]):
+        spoken = [(name, _words(notice), notice) for name, notice in templates]
+        known = Counter(t for _, words, _ in spoken for t in set(_counts(words)))
+        self.unknown = math.log(1 + len(templates)) + 1
+        self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in known.items()}
+        # How many words a template has, and how many of them before a hint.
+        self.shapes = sorted({(len(_words(notice[: m.start()])), len(words)) for _, words, notice in spoken for m in _HINTS.finditer(notice)})
+        self.of_term = defaultdict(list)
+        for k, (_, words, _) in enumerate(spoken):
+            vector = self._vector(words)
+            for term, weight in vector.items():
+                self.of_term[term].append((k, weight))
+
+    def _vector(self, words: list[str]) -> dict[str, float]:
+        raw = {t: (1 + math.log(n)) * self.idf.get(t, self.unknown) for t, n in _counts(words).items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    def _cosine(self, words: list[str]) -> float:
+        dots = defaultdict(float)
+        for term, weight in self._vector(words).items():
+            for k, other in self.of_term.get(term, ()):
+                dots[k] += weight * other
+        return max(dots.values(), default=0.0)
+
+    def best(self, text: str) -> str | None:
+        """Lines do not end a window: notices are wrapped, and comment marks are no words."""
+        most, found, seen = 0.0, None, set()
+        for m in _HINTS.finditer(text):
+            at = m.start()
+            while at and m.start() - at < _REACH and text[at - 1].isalnum():
+                at -= 1
+            before, after = _words(text[max(0, at - _REACH) : at]), _words(text[at : m.end() + _REACH])
+            for lead, size in self.shapes:
+                window = tuple(before[max(0, len(before) - lead) :] + after[: size - lead])
+                if hash(window) in seen:
+                    continue
+                seen.add(hash(window))
+                cosine = self._cosine(window)
+                if cosine > most:
+                    most, found = cosine, " ".join(window)
+        return found
+
+
+def closest_window(text: Column, templates: list[tuple[str, str]]) -> Column:
+    """The best window of every text with a hint; null for the others, which are not handed to Python."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        windows = Windows(templates)
+        return pa.array([windows.best(t.as_py()) if t.is_valid else None for t in texts], pa.string())
+
+    return run(F.when(text.rlike(_HINT), text))
+
+
+def tagged(text: Column, templates: list[tuple[str, str]]) -> Column:
+    """What SPDX tags state, in the templates' names where these have one; null without a tag.
+
+    "only" and "or later" are left off, as in the templates. Tags that differ all hold.
+    """
+    plain = F.regexp_replace(F.concat_ws("\n", F.regexp_extract_all(text, F.lit(_TAG), F.lit(1))), r"(?i)-only(?![\w.-])|-or-later(?![\w.-])|\+", "")
+    for name in sorted({name for name, _ in templates}):
+        plain = F.regexp_replace(plain, rf"(?i)(?<![\w.-]){re.escape(name)}(?![\w.-])", name)
+    each = F.array_distinct(F.split(F.regexp_replace(plain, r"[\x20\t]+", " "), "\n"))
+    each = F.filter(each, lambda e: (e != "") & ~F.upper(e).isin("NONE", "NOASSERTION"))
+    joined = F.array_join(F.transform(each, lambda e: F.when(e.rlike("(?i) or ") & (F.size(each) > 1), F.concat(F.lit("("), e, F.lit(")"))).otherwise(e)), " AND ")
+    return F.when(text.rlike("(?i)spdx") & (joined != ""), joined)
+
+
 def terms(text: Column) -> Column:
     """Words and numbers in lower case, and each with its successor."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?!\p{N})"), lambda w: w != "")
@@ -116,24 +207,31 @@ def scan(
 ) -> DataFrame:
     """``key, license, origin, cosine, directory`` of every row.
 
-    ``origin`` is ``header`` for a statement in the file itself, ``file`` for a
+    A statement is what SPDX tags say, with a cosine of 1, or else the best
+    template. ``origin`` is ``header`` for a statement in the file itself, ``file`` for a
     licence file, ``inherited`` with the ``directory`` that it comes from, or
     ``none``. Of several licence files in a directory the one with the largest
     cosine counts, then the last identifier in order. Null text has no
     statement; a null path is a file at the top; rows with equal keys or paths
     are separate files. An empty table gives an empty result.
     """
+    content = F.col(text).cast("string")
     rows = df.select(
         F.col(key).alias("_key"),
         directory(F.coalesce(path.cast("string"), F.lit(""))).alias("folder"),
         F.coalesce(is_license_file, F.lit(False)).alias("is_file"),
-        passages(F.col(text).cast("string")).alias("passages"),
+        passages(content).alias("_lines"),
+        closest_window(content, templates).alias("_window"),
+        tagged(content, templates).alias("tag"),
     )
+    lines = F.when(F.col("_window").isNull(), F.col("_lines")).otherwise(F.array_append("_lines", F.col("_window")))
+    rows = rows.withColumn("passages", lines).drop("_lines", "_window")
     # Written once: row numbers must not change if a lost executor's work is repeated.
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "licences")
     spoken = materialize(rows.where(F.size("passages") > 0).select("row", F.explode("passages").alias("passage")), "passages")
     own = materialize(best_templates(spoken, templates, least), "stated")
     stated = rows.where(F.size("passages") > 0).join(own, "row", "left")
+    stated = stated.withColumn("license", F.coalesce("tag", "license")).withColumn("cosine", F.when(F.col("tag").isNotNull(), 1.0).otherwise(F.col("cosine")))
     files = stated.where("is_file AND license IS NOT NULL").groupBy("folder").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("f"))
     files = files.select(F.col("folder").alias("_above"), "f.*")
     folders = rows.select("folder").distinct()

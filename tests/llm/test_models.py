@@ -123,6 +123,47 @@ def test_statements_files_and_inheritance(spark):
     assert {g[1:3] for g in got[8:]} == {("GPL-3.0", "header"), ("MIT", "inherited")}
 
 
+PROSE = (
+    "when morning came all seven boats left their harbour and nobody on shore could say how long this calm weather would hold because old "
+    "sailors had seen grey clouds gather behind that hill where in summer children fly kites until evening bells call them home for soup"
+).split()
+
+
+@pytest.mark.parametrize("around", [0, 3, 12, 120])
+def test_every_template_is_found_amid_prose(spark, around):
+    many = PROSE * 5
+    rows = []
+    for k, (name, notice) in enumerate(licenses.TEMPLATES):
+        before, after = " ".join(many[k : k + around]), " ".join(many[k + 7 : k + 7 + around])
+        rows += [(k, f"{before} {notice} {after}"), (100 + k, f"{before}\n# " + notice.replace(" ", "\n# ", 4) + f"\n{after}")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = rows_of(licenses.scan(df, F.lit("a/b"), F.lit(False)))
+    for k, (name, _) in enumerate(licenses.TEMPLATES):
+        assert got[k]["license"] == got[100 + k]["license"] == name, licenses.TEMPLATES[k]
+
+
+def test_prose_about_licences_is_no_notice(spark):
+    texts = [
+        "she lost her driving license on the way to the station last week", "the pub has a licence to sell beer until midnight",
+        "songs of that time have long been in the public domain in most countries", "license", "the council may revoke any license it has granted to a trader",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["origin"] for r in licenses.scan(df, F.lit("a/b"), F.lit(False)).collect()} == {"none"}
+
+
+def test_spdx_tags_are_taken_as_they_stand(spark):
+    tag = "SPDX-License-Identifier:"
+    want = {
+        f"// {tag} MIT": "MIT", f"/* {tag} GPL-3.0-or-later */ int x;": "GPL-3.0", f"{tag} LGPL-3.0-only": "LGPL-3.0", f"x\n# {tag} apache-2.0.\ny": "Apache-2.0",
+        f"{tag} (MIT OR Apache-2.0)": "(MIT OR Apache-2.0)", f"{tag} Zlib and more prose": "Zlib", f"{tag} GPL-2.0+\n{tag} MIT\n{tag} MIT": "GPL-2.0 AND MIT",
+        f"{tag} GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0 WITH Classpath-exception-2.0", f"{tag} BSD-2-Clause\nnot Licensed under the BSD 3-Clause License": "BSD-2-Clause",
+        f"{tag} NOASSERTION": None, "speak of SPDX": None,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")
+    got = rows_of(licenses.scan(df, F.lit("a/b"), F.lit(False)))
+    assert [got[k]["license"] for k in range(len(want))] == list(want.values())
+
+
 def test_licences_of_awkward_rows(awkward, nothing):
     never = F.lit(None).cast("boolean")
     assert {r["origin"] for r in licenses.scan(awkward, F.col("source"), never).collect()} == {"none"}
