@@ -15,6 +15,16 @@ from argloom.session import materialize
 
 BASE = ["assign", "access", "hex"]
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
+# A private key: from its first line to its last or, where that is missing, over the base64 that follows. Lines
+# may end in an escaped "\\n" or stand in quotes or comments, as in settings and source code.
+_BASE64 = "[A-Za-z0-9+/=]{16,}+"
+_BREAK = r"(?:[\x20\x09-\x0D\"'`,;#>*]|\\++[nrt]?+){1,64}+"
+_PEM_LINE = r"-----{} [A-Z ]{{0,20}}PRIVATE KEY-----"
+_HEADERS = r"[A-Za-z-]{1,30}+:\x20[^\x0A\\]*+"
+_PEM = (
+    _PEM_LINE.format("BEGIN")
+    + rf"(?:(?s:(?!-----).)*+{_PEM_LINE.format('END')}|{_BREAK}(?:{_HEADERS}{_BREAK})*+{_BASE64}(?:{_BREAK}{_BASE64})*+)"
+)
 # Published key formats.
 MORE = {
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}+",
@@ -22,7 +32,7 @@ MORE = {
     "google": r"AIza[0-9A-Za-z_-]{35}+",
     "stripe": r"[rs]k_live_[0-9A-Za-z]{16,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++",
-    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "pem": _PEM,
     "login": r"://[A-Za-z0-9._%+-]{1,64}+:[^\x20\x09-\x0D/@:]{6,128}+@",
     "bearer": r"(?i:bearer)\x20{1,4}+[A-Za-z0-9._~+/=-]{20,}+",
 }
@@ -42,12 +52,21 @@ def base_spans(text: Column) -> Column:
 
 
 def more_spans(text: Column) -> Column:
-    return F.concat(*[S.find(text, kind, pattern) for kind, pattern in MORE.items()])
+    found = F.concat(*[S.find(text, kind, pattern) for kind, pattern in MORE.items()])
+    return F.filter(found, lambda s: (s["kind"] != "pem") | _key_body(s["value"]).rlike(_BASE64))
+
+
+def _key_body(match: Column) -> Column:
+    """The base64 of a private key alone, the same however its lines are broken, quoted or commented."""
+    lines = F.regexp_replace(F.regexp_replace(match, "-----[A-Z ]++-----", "\n"), r"\\++[nrt]", "\n")
+    lines = F.regexp_replace(lines, rf"(?m)^[\x20\x09]*+{_HEADERS}$|[\"'][\x20\x09]*+\+(?=[\x20\x09-\x0D\"'])|^[\x20\x09]*+//++[\x20\x09]", "")
+    return F.regexp_replace(lines, "[^A-Za-z0-9+/=]++", "")
 
 
 def _value(span: Column) -> Column:
-    """The secret itself: what is assigned, or the whole match."""
-    return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], _ASSIGN, 2)).otherwise(span["value"])
+    """The secret itself: what is assigned, the body of a private key, or the whole match."""
+    assigned = F.when(span["kind"] == "assign", F.regexp_extract(span["value"], _ASSIGN, 2))
+    return assigned.when(span["kind"] == "pem", _key_body(span["value"])).otherwise(span["value"])
 
 
 def _looks_live(value: Column) -> Column:

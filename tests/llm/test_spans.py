@@ -89,6 +89,38 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert got[10] == [("assign", "copied", 10, 10)]
 
 
+def pem(seed, lines=25, kind="RSA "):
+    import base64
+    import random
+
+    body = base64.b64encode(random.Random(seed).randbytes(48 * lines - 7)).decode()
+    return [f"-----BEGIN {kind}PRIVATE KEY-----", *[body[k : k + 64] for k in range(0, len(body), 64)], f"-----END {kind}PRIVATE KEY-----"]
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    shapes = [
+        lambda k: "\n".join(k), lambda k: "\r\n".join(k), lambda k: 'key: "' + "\\n".join(k) + '"', lambda k: "\n".join("# " + x for x in k),
+        lambda k: "\n".join("// " + x for x in k), lambda k: " +\n".join(f'  "{x}\\n"' for x in k), lambda k: " ".join(k),
+        lambda k: "\n".join([k[0], "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", "", *k[1:]]),
+    ]
+    own = [pem(k, kind=["RSA ", "", "EC "][k % 3]) for k in range(30)]
+    rows = [(k, f"mine is {shapes[k % len(shapes)](own[k])} so", f"o{k}") for k in range(30)]
+    rows += [(100 + k, f"all say {shapes[k](pem(99))} so", f"o{k}") for k in range(len(shapes))]
+    rows += [(200, "\n".join(own[0][:1]) + " is how keys start, and so on for long words", "o"), (201, "\n".join(pem(7, 3)[:-2]) + "\nthe end", "o")]
+    rows += [(202, "\n".join(pem(55)[:5]) + "\n" + "\n".join(pem(56)), "o"), (203, "\n".join(pem(57, 40_000)), "o")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    texts = {r[0]: r[1] for r in rows}
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "pem"] for r in secrets.scan(df, F.col("source"), F.col("source")).collect()}
+    for k in range(30):
+        (s,) = got[k]
+        assert (s["verdict"], s["owners"], s["value"]) == ("owner", 1, "".join(own[k][1:-1]))
+        assert texts[k][s["start"] : s["end"]].startswith(own[k][0]) and texts[k][s["start"] : s["end"]].endswith(own[k][-1])
+    assert not any(got[100 + k] for k in range(len(shapes))) and got[200] == []  # copied by all; no key
+    assert [len(s["value"]) for s in got[201]] == [128]
+    assert [s["value"] for s in got[202]] == ["".join(pem(55)[1:5]), "".join(pem(56)[1:-1])]
+    assert [s["value"] for s in got[203]] == ["".join(pem(57, 40_000)[1:-1])]
+
+
 def test_secrets_of_awkward_rows(awkward, nothing):
     rows = secrets.digest(secrets.scan(awkward, F.col("source"), F.col("lang"))).collect()
     assert sorted((r["doc_id"] or -1, r["base_sha256"]) for r in rows) == sorted((i or -1, digest(base_secrets(t or ""))) for i, t, _, _ in ROWS)
