@@ -3,12 +3,12 @@
 The model is an interpolated modified Kneser-Ney model of characters, one per
 language. Spark counts the longest n-grams over all texts; the shorter ones are
 continuation counts of the longer. Probabilities are worked out with joins and
-windows, and end as arrays sorted by hash. Verdicts come from models of the
+windows, and end as arrays sorted by key. Verdicts come from models of the
 texts that are not suspicious (:func:`sound`), so that frequent junk does not
-look likely. A hash has ``SLOT_BITS`` bits, so no
-table has more than ``2**SLOT_BITS`` entries whatever the corpus is; that is the
-bound under which the arrays are sent to every worker (12 bytes an entry, 8
-tables). N-grams that share a slot share the mean of their probabilities.
+look likely. The key of an n-gram is a bijection of its 64 bits that differs by
+language, so within a language a miss is always a miss; n-grams of two languages
+meet with a chance of about 2**-64. Arrays are cut by ranges of keys into files
+of bounded size in the shared folder, which tasks map into memory.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from argloom.llm.lmtrie import _read, _write
 from argloom.llm.words import (
     buffers,
     code_points,
@@ -32,9 +33,9 @@ from argloom.llm.words import (
     windows,
     words,
 )
-from argloom.session import materialize
+from argloom.session import materialize, scratch_path
 
-SLOT_BITS = 23
+SHARD = 1 << 22  # about so many entries, of all tables together, make one file (12 bytes each)
 ORDER = 4  # characters of 16 bits, so that the longest n-gram is one whole number of 64 bits
 START = 0xFFFF
 BLOCK = 1 << 18
@@ -68,8 +69,12 @@ def _language_seed(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def _slots(grams: np.ndarray, seed: np.uint64) -> np.ndarray:
-    return (mix(mix(grams) ^ seed) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+def _keys(grams: np.ndarray, seed: np.uint64) -> np.ndarray:
+    return mix(mix(grams) ^ seed)
+
+
+def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
 def _by_language(batch: pa.RecordBatch) -> list[tuple[str, np.ndarray]]:
@@ -196,19 +201,35 @@ def _tail(k: int) -> Column:
 
 @dataclass
 class LanguageModels:
-    """Arrays per order, sorted by slot: log probabilities, and log weights of contexts."""
+    """Per order, log probabilities (g0 to g4) and log weights of contexts (c1 to c4), in files of sorted keys.
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    A file has all entries whose keys start with the same ``bits`` bits;
+    ``paths`` has the files that are not empty.
+    """
 
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(slots), bool), np.zeros(len(slots))
-        at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
-        hit = keys[at] == slots
-        return hit, np.where(hit, values[at], 0.0)
+    paths: dict[int, str]
+    bits: int
+
+    @property
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and log probabilities of each order, all files together."""
+        files = [_read(self.paths[k]) for k in sorted(self.paths)]
+        empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        return [tuple(np.concatenate(e + [f[f"g{k}{part}"] for f in files]) for part, e in zip("kv", empty)) for k in range(ORDER + 1)]
+
+    def _find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+        order = np.argsort(keys)
+        shards = _shards(keys[order], self.bits)
+        for rows in np.split(order, np.flatnonzero(np.diff(shards)) + 1) if len(order) else []:
+            path = self.paths.get(int(_shards(keys[rows[:1]], self.bits)[0]))
+            table = _read(path) if path else {}
+            own = table.get(f"{name}k", ())
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys[rows]), len(own) - 1)
+                hit[rows] = own[at] == keys[rows]
+                out[rows] = np.where(hit[rows], table[f"{name}v"][at], 0.0)
+        return hit, out
 
     def log_probs(self, grams: np.ndarray, seed: np.uint64) -> np.ndarray:
         """Natural log probability of the last character of each n-gram."""
@@ -217,12 +238,12 @@ class LanguageModels:
         left = np.arange(len(own))
         for k in range(ORDER, -1, -1):
             part = own[left] & np.uint64((1 << 16 * k) - 1)
-            hit, value = self._find(self.grams[k], _slots(part, seed))
+            hit, value = self._find(f"g{k}", _keys(part, seed))
             out[left] += np.where(hit, value, 0.0)
             left = left[~hit]
             if k:
                 part = (own[left] & np.uint64((1 << 16 * k) - 1)) >> np.uint64(16)
-                out[left] += self._find(self.contexts[k], _slots(part, seed))[1]
+                out[left] += self._find(f"c{k}", _keys(part, seed))[1]
         out[left] -= np.log(65536.0)  # a language without a model
         return out[inverse]
 
@@ -252,42 +273,50 @@ def fit_models(df: DataFrame, lang: str = "lang", text: str = "text", trusted: b
     unseen = levels[1].groupBy("lang").agg(F.count("*").alias("n")).select(
         "lang", F.lit(0).cast("bigint").alias("gram"), "n", (1 / (F.col("n") + 1)).alias("p")
     )
-    tables = [(f"g{k}", (unseen if k == 0 else solved[k]).select("lang", "gram", "n", F.ln("p").alias("value"))) for k in range(ORDER + 1)]
+    tables = [(f"g{k}", (unseen if k == 0 else solved[k]).select("lang", "gram", F.ln("p").alias("value"))) for k in range(ORDER + 1)]
     tables += [
-        (f"c{k}", solved[k].groupBy("lang", F.col("context").alias("gram")).agg(F.sum("n").alias("n"), F.ln(F.max("gamma")).alias("value")))
+        (f"c{k}", solved[k].groupBy("lang", F.col("context").alias("gram")).agg(F.ln(F.max("gamma")).alias("value")))
         for k in range(1, ORDER + 1)
     ]
 
-    def slot(batches):
+    names = [name for name, _ in tables]
+    bits = (2 * sum(solved[k].count() for k in solved) // SHARD).bit_length()  # contexts are no more than n-grams
+    root = scratch_path(df.sparkSession, "models")
+
+    def key(batches):
         for batch in batches:
             langs = batch.column("lang").to_pandas().to_numpy()
             grams = batch.column("gram").to_numpy().view(np.uint64)
-            out = np.zeros(len(grams), dtype=np.int32)
+            out = np.zeros(len(grams), dtype=np.uint64)
             for name in set(langs):
                 rows = langs == name
-                out[rows] = _slots(grams[rows], _language_seed(name))
-            columns = [batch.column("name"), pa.array(out), batch.column("n"), batch.column("value")]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "slot", "n", "value"])
+                out[rows] = _keys(grams[rows], _language_seed(name))
+            columns = [pa.array(_shards(out, bits)), batch.column("name"), pa.array(out.view(np.int64)), batch.column("value")]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "name", "key", "value"])
+
+    def write(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            shard, *rest = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(shard):
+                held.setdefault(int(k), []).append([c[shard == k] for c in rest])
+        for k, parts in held.items():
+            name, keys, values = (np.concatenate(x) for x in zip(*parts))
+            keys, arrays = keys.view(np.uint64), {}
+            order = np.lexsort((keys, name))
+            cuts = np.searchsorted(name[order], np.arange(len(names) + 1))
+            for title, a, z in zip(names, cuts, cuts[1:]):
+                arrays[f"{title}k"], arrays[f"{title}v"] = keys[order[a:z]], values[order[a:z]]
+            _write(f"{root}/{k}", arrays)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32())], names=["shard"])
 
     rows = None
-    for name, table in tables:
-        table = table.select(F.lit(name).alias("name"), "lang", "gram", "n", "value")
+    for k, (_, table) in enumerate(tables):
+        table = table.select(F.lit(k).alias("name"), "lang", "gram", F.col("value").cast("float").alias("value"))
         rows = table if rows is None else rows.unionByName(table)
-    merged = (
-        rows.mapInArrow(slot, "name string, slot int, n bigint, value double")
-        .groupBy("name", "slot")
-        .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).cast("float").alias("value"))
-    )
-    found = merged.toArrow().combine_chunks()  # at most 2**SLOT_BITS rows a name
-    names = np.array(found["name"].to_pylist(), dtype=object)
-    slots, values = found["slot"].to_numpy().astype(np.uint32), found["value"].to_numpy()
-
-    def arrays(name):
-        rows = np.flatnonzero(names == name)
-        rows = rows[np.argsort(slots[rows])]
-        return slots[rows], values[rows]
-
-    return LanguageModels([arrays(f"g{k}") for k in range(ORDER + 1)], [arrays(f"c{k}") for k in range(ORDER + 1)])
+    keyed = rows.mapInArrow(key, "shard int, name int, key bigint, value float")
+    written = keyed.repartition(1 << bits, "shard").mapInArrow(write, "shard int").collect()  # one row a file
+    return LanguageModels({r["shard"]: f"{root}/{r['shard']}" for r in written}, bits)
 
 
 def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,11 +364,9 @@ def measure(df: DataFrame, models: LanguageModels, key: str = "doc_id", lang: st
 
     Null text counts as empty: all counts are 0 and so is ``log_prob``.
     """
-    shared = df.sparkSession.sparkContext.broadcast(models)
     names = ["key", "lang", *COUNTS, "n_chars", "log_prob"]
 
     def run(batches):
-        models = shared.value
         for batch in batches:
             data, bounds = buffers(batch.column("text"))
             counts = {name: np.zeros(batch.num_rows, np.int64) for name in COUNTS}

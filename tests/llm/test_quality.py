@@ -103,6 +103,24 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert models.grams[4][0].size
 
 
+def test_a_miss_is_a_miss_however_many_ngrams_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 2000))) for _ in range(150)]
+    rows = spark.createDataFrame([(t, ["zh", "ja"][k % 2]) for k, t in enumerate(texts)], "text string, lang string")
+    one = Q.fit_models(rows)
+    monkeypatch.setattr(Q, "SHARD", 1 << 15)
+    many = Q.fit_models(rows)
+    assert one.bits == 0 and len(many.paths) == 1 << many.bits >= 16
+    # Characters that no text has: every n-gram of them is as unlikely as every other.
+    strange = Q._grams(rng.integers(0xAC00, 0xD7A0, 200_000).astype(np.uint32), np.array([0, 200_000]))[3:]
+    points, at = Q.code_points(*buffers(pa.array(texts[:4])))
+    for lang in ("zh", "ja"):
+        seed = Q._language_seed(lang)
+        assert len(set(many.log_probs(strange, seed))) == 1
+        own = Q._grams(points, at)
+        assert (one.log_probs(own, seed) == many.log_probs(own, seed)).all()
+
+
 def test_rules_on_the_smallest_table(documents, texts):
     got = rows_of(Q.quality_rules(documents))
     assert set(got) == set(texts)
