@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from argloom.llm import bpe, jaccard, langid, licenses, lmtrie, packing, pii, quality, secrets, topk
+from argloom.llm import (
+    bpe, fim, jaccard, langid, licenses, lmtrie, packing, pii, quality, repair, secrets, sharding, topk,
+)
+from argloom.llm.oracle import FILL_IN_MIDDLE, REPAIR
 
 TRIE_ORDER = 3
 
@@ -72,6 +75,18 @@ def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, folder, "documents"), path)
 
 
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(_table(spark, folder, "documents")))
+
+
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"), shards=40)
+
+
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": quality_rules,
     "op2_ngram_jaccard_join": ngram_jaccard_join,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_personal_data": personal_data,
     "op9_exact_top_k": exact_top_k,
     "op10_byte_level_bpe": byte_level_bpe,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_sharding": shards,
+    "op13_conversation_repair": conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,4 +120,6 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_conversation_repair": REPAIR,
 }
