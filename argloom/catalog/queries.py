@@ -140,7 +140,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_components(spark: SparkSession, sf: str) -> DataFrame:
-    return C.classify_components(_scored(spark, sf), _components(spark, sf))
+    return C.classify_sentences(_sentences(spark, sf), _detector(spark, sf), _components(spark, sf))
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """``df`` with a new column that is worked out once per row, whatever is filtered above it.
+
+    A filter on the column would be pushed below it together with a second copy of
+    the work. One-item arrays stop that; filters on other columns still reach the scan.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(out))
+
+
 def _running(values: Column) -> Column:
     """0 and the running sums of a short array. Each step copies the list so far."""
     zero = F.array(F.lit(0).cast("bigint"))

@@ -1,73 +1,174 @@
 """Sums of per-word weights, computed inside the row.
 
-The weight table of a model is broadcast once its size has been checked. Word
 Word lists travel as Arrow arrays; the work in the task is whole-array NumPy.
-
-The functions are declared nondeterministic, which they are not: it keeps the
-optimizer from working a sum out a second time below a filter on it.
+Each function makes one pass over the words, however many models it applies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pandas.util import hash_array
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 
-def weight_arrays(words: Sequence[str], weights: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A weight table as two arrays, sorted by the 64-bit hash of the word: 16 bytes a word."""
-    hashes = hash_array(np.array(words, dtype=object), categorize=False)
-    order = np.argsort(hashes)
-    return hashes[order], np.array(weights, dtype=np.int64)[order]
+def word_hashes(words: Sequence[str]) -> np.ndarray:
+    """A signed 64-bit hash per word, the same in every task."""
+    return hash_array(np.array(words, dtype=object), categorize=False).view(np.int64)
 
 
-def _margins(words: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Weight of every word of a flat string array; unknown words weigh nothing."""
-    hashes, weights = table
-    if len(words) == 0 or len(hashes) == 0:
-        return np.zeros(len(words), dtype=np.int64)
-    encoded = words.dictionary_encode()
-    own = hash_array(np.array(encoded.dictionary.to_pylist(), dtype=object), categorize=False)
+def _matches(hashes: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Weights of hashes in a sorted table; 0 for those that it does not hold."""
+    if len(hashes) == 0:
+        return np.zeros(len(own), dtype=np.int64)
     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    known = np.where(hashes[at] == own, weights[at], 0)
-    return known[encoded.indices.to_numpy(zero_copy_only=False)]
+    return np.where(hashes[at] == own, weights[at], 0)
+
+
+class WeightTable(Protocol):
+    """What tasks look weights up in."""
+
+    def find(self, own: np.ndarray) -> np.ndarray:
+        """Weights of word hashes; unknown words weigh nothing."""
+
+
+@dataclass(frozen=True)
+class BroadcastTable:
+    """Two arrays sorted by hash, 16 bytes a word, broadcast as a whole."""
+
+    arrays: Broadcast
+
+    def find(self, own: np.ndarray) -> np.ndarray:
+        return _matches(*self.arrays.value, own)
+
+
+@dataclass(frozen=True)
+class TableFile:
+    """One range of a sorted table: its first and last hash and the paths of its two arrays."""
+
+    first: int
+    last: int
+    hashes: str
+    weights: str
+
+
+@lru_cache(maxsize=64)
+def _array(path: str) -> np.ndarray:
+    """An array in the shared folder: mapped where the folder is mounted, else read."""
+    system, place = FileSystem.from_uri(path)
+    if isinstance(system, LocalFileSystem):
+        return np.memmap(place, dtype=np.int64, mode="r")
+    with system.open_input_stream(place) as file:
+        return np.frombuffer(file.read(), dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class SharedTable:
+    """A table of any size as files sorted by hash, in a folder that all tasks can reach.
+
+    Only the ranges in which a batch has words are looked at, and of a mapped
+    file only the pages that a search touches.
+    """
+
+    files: tuple[TableFile, ...]
+
+    def find(self, own: np.ndarray) -> np.ndarray:
+        order = np.argsort(own)
+        ordered = own[order]
+        found = np.zeros(len(own), dtype=np.int64)
+        for file in self.files:
+            a, z = np.searchsorted(ordered, file.first), np.searchsorted(ordered, file.last, side="right")
+            if a < z:
+                found[order[a:z]] = _matches(_array(file.hashes), _array(file.weights), ordered[a:z])
+        return found
+
+
+Scorer = tuple[WeightTable, int]  # a table and a bias
 
 
 def _sum_lists(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     running = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(values)])
-    offsets = offsets - offsets[0]
     return running[offsets[1:]] - running[offsets[:-1]]
 
 
 def _offsets(lists: pa.ListArray) -> np.ndarray:
-    return lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return offsets - offsets[0]
+
+
+def _margins(lists: pa.ListArray, first: Scorer, second: Scorer | None) -> tuple[pa.Array, pa.Array | None]:
+    """Margins of word lists under one model and, where that one's is positive, under another.
+
+    The second table is asked only for words of lists that the first one chose.
+    """
+    words, offsets = lists.flatten().dictionary_encode(), _offsets(lists)
+    hashes = word_hashes(words.dictionary.to_pylist())
+    at = words.indices.to_numpy(zero_copy_only=False)
+    table, bias = first
+    margins = _sum_lists(table.find(hashes)[at], offsets) + bias
+    if second is None:
+        return pa.array(margins), None
+    table, bias = second
+    chosen = margins > 0
+    inside = np.repeat(chosen, np.diff(offsets))
+    used = np.unique(at[inside])
+    weights = np.zeros(len(hashes), dtype=np.int64)
+    weights[used] = table.find(hashes[used])
+    more = _sum_lists(np.where(inside, weights[at], 0), offsets) + bias
+    return pa.array(margins), pa.array(more, mask=~chosen)
+
 
+def _nested(documents: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_offsets(documents), type=pa.int32()), values)
 
-def list_margin(weights: Broadcast) -> Callable[[Column], Column]:
+
+def list_margin(model: Scorer) -> Callable[[Column], Column]:
     """``array<string>`` to the sum of its words' weights."""
 
     @arrow_udf("bigint")
     def margin(words: pa.Array) -> pa.Array:
-        return pa.array(_sum_lists(_margins(words.flatten(), weights.value), _offsets(words)))
+        return _margins(words, model, None)[0]
 
-    return margin.asNondeterministic()
+    return margin
 
 
-def nested_margins(weights: Broadcast) -> Callable[[Column], Column]:
+def nested_margins(model: Scorer) -> Callable[[Column], Column]:
     """``array<array<string>>`` to one sum of weights per inner list."""
 
     @arrow_udf("array<bigint>")
     def margins(documents: pa.Array) -> pa.Array:
-        sentences = documents.flatten()
-        sums = _sum_lists(_margins(sentences.flatten(), weights.value), _offsets(sentences))
-        starts = _offsets(documents)
-        return pa.ListArray.from_arrays(
-            pa.array(starts - starts[0], type=pa.int32()), pa.array(sums)
-        )
-
-    return margins.asNondeterministic()
+        return _nested(documents, _margins(documents.flatten(), model, None)[0])
+
+    return margins
+
+
+def _pair(lists: pa.ListArray, first: Scorer, second: Scorer) -> pa.Array:
+    return pa.StructArray.from_arrays(list(_margins(lists, first, second)), names=["first", "second"])
+
+
+def list_cascade(first: Scorer, second: Scorer) -> Callable[[Column], Column]:
+    """``array<string>`` to ``first, second``: two margins, the second one null unless the first is positive."""
+
+    @arrow_udf("struct<first:bigint,second:bigint>")
+    def margins(words: pa.Array) -> pa.Array:
+        return _pair(words, first, second)
+
+    return margins
+
+
+def nested_cascade(first: Scorer, second: Scorer) -> Callable[[Column], Column]:
+    """The same for ``array<array<string>>``, one pair of margins per inner list."""
+
+    @arrow_udf("array<struct<first:bigint,second:bigint>>")
+    def margins(documents: pa.Array) -> pa.Array:
+        return _nested(documents, _pair(documents.flatten(), first, second))
+
+    return margins

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 import numpy as np
-from pyspark import Broadcast
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from argloom.functions import text as T
-from argloom.functions.linear import list_margin, nested_margins, weight_arrays
+from argloom.functions.arrays import once
+from argloom.functions.linear import (
+    BroadcastTable,
+    Scorer,
+    WeightTable,
+    list_cascade,
+    list_margin,
+    nested_margins,
+    word_hashes,
+)
 from argloom.functions.probability import argmax, label_of, sigmoid, softmax
 from argloom.operators.training import MICRO
 from argloom.schemas import COMPONENT_LABELS
 from argloom.session import materialize
+from argloom.sources.weights import share_weights
 
-# Most bytes of one broadcast lookup table, and the bytes of one entry.
+# Most bytes of one broadcast lookup table and of one shared file, and the bytes of one entry.
 MAX_BROADCAST = 256 << 20
+MAX_FILE = 64 << 20
 _ENTRY = 16
 
 
 class LinearModel:
     """A two-class model: one whole-number weight per word, in millionths, and a bias.
 
-    ``weights`` has columns ``token`` and ``weight``. Its size is measured
-    before anything is broadcast. A table beyond ``max_broadcast`` is split by
-    word into shards that each fit; scores of the shards add up to the score.
+    ``weights`` has columns ``token`` and ``weight``. Its size is measured first.
+    A table of at most ``max_broadcast`` bytes is broadcast. A larger one is
+    written once to the shared folder, as files sorted by hash that tasks map into
+    memory. Either way scoring is one pass over the sentences.
     """
 
     def __init__(self, weights: DataFrame, bias: int = 0, max_broadcast: int = MAX_BROADCAST):
@@ -38,61 +49,40 @@ class LinearModel:
         self.max_broadcast = max_broadcast
 
     @cached_property
+    def _bytes(self) -> int:
+        return self.weights.count() * _ENTRY
+
+    @property
     def n_shards(self) -> int:
-        return max(1, -(-self.weights.count() * _ENTRY // self.max_broadcast))
+        """Parts that the table comes in: one that is broadcast, or several shared files."""
+        if self._bytes <= self.max_broadcast:
+            return 1
+        return max(2, -(-self._bytes // min(self.max_broadcast, MAX_FILE)))
 
     @cached_property
-    def _only_shard(self) -> Broadcast:
-        return self._broadcast(self.weights)
-
-    def _broadcast(self, weights: DataFrame) -> Broadcast:
-        table = weights.toArrow()
-        lookup = weight_arrays(table["token"].to_pylist(), table["weight"].to_pylist())
-        return self.weights.sparkSession.sparkContext.broadcast(lookup)
-
-    def shards(self) -> Iterator[Broadcast]:
-        if self.n_shards == 1:
-            yield self._only_shard
-            return
-        shard = F.pmod(F.xxhash64("token"), F.lit(self.n_shards))
-        for number in range(self.n_shards):
-            yield self._broadcast(self.weights.where(shard == number))
+    def table(self) -> WeightTable:
+        if self.n_shards > 1:
+            return share_weights(self.weights, self.n_shards)
+        table = self.weights.toArrow()
+        hashes = word_hashes(table["token"].to_pylist())
+        order = np.argsort(hashes)
+        arrays = hashes[order], np.array(table["weight"].to_pylist(), dtype=np.int64)[order]
+        return BroadcastTable(self.weights.sparkSession.sparkContext.broadcast(arrays))
 
-
-def _add_margin(
-    df: DataFrame,
-    words: Column,
-    model: LinearModel,
-    out: str,
-    udf: Callable[[Broadcast], Callable[[Column], Column]],
-    plus: Callable[[Column, Column], Column],
-) -> DataFrame:
-    """Add a model's margins; each further shard is one more pass over a written table."""
-    for number, shard in enumerate(model.shards()):
-        if number == 0:
-            df = df.withColumn(out, udf(shard)(words))
-            continue
-        df = materialize(df, "margins").withColumn("_more", udf(shard)(words))
-        df = df.withColumn(out, plus(F.col(out), F.col("_more"))).drop("_more")
-    return df
+    @property
+    def scorer(self) -> Scorer:
+        """What the functions of :mod:`argloom.functions.linear` take."""
+        return self.table, self.bias
 
 
 def add_margin(df: DataFrame, words: Column, model: LinearModel, out: str) -> DataFrame:
     """Add ``bias + sum of word weights`` for a column of word lists, in millionths."""
-    df = _add_margin(df, words, model, out, list_margin, lambda a, b: a + b)
-    return df.withColumn(out, F.col(out) + F.lit(model.bias)) if model.bias else df
+    return once(df, list_margin(model.scorer)(words), out)
 
 
 def add_nested_margins(df: DataFrame, words: Column, model: LinearModel, out: str) -> DataFrame:
     """The same for one list of word lists per row: an array with one margin per list."""
-
-    def plus(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: x + y)
-
-    df = _add_margin(df, words, model, out, nested_margins, plus)
-    if not model.bias:
-        return df
-    return df.withColumn(out, F.transform(out, lambda margin: margin + F.lit(model.bias)))
+    return once(df, nested_margins(model.scorer)(words), out)
 
 
 def margin_prob(margin: Column) -> Column:
@@ -199,6 +189,30 @@ def classify_components(
     )
 
 
+def classify_sentences(
+    df: DataFrame,
+    detector: LinearModel,
+    components: LinearModel,
+    text: str = "text",
+    labels: Sequence[str] = COMPONENT_LABELS,
+) -> DataFrame:
+    """Add ``is_arg, arg_prob, component, component_prob`` in one pass over the words.
+
+    The same columns as :func:`detect_sentences` and :func:`classify_components`
+    one after the other. Words of sentences that are not argumentative are not
+    looked up in the second model.
+    """
+    scored = once(df, list_cascade(detector.scorer, components.scorer)(T.tokens(F.col(text))), "_margins")
+    first, second = F.col("_margins.first"), F.col("_margins.second")
+    return scored.select(
+        *df.columns,
+        (first > 0).cast("int").alias("is_arg"),
+        margin_prob(first).alias("arg_prob"),
+        F.when(first > 0, label_of((second > 0).cast("int"), labels)).alias("component"),
+        F.when(first > 0, margin_prob(second)).alias("component_prob"),
+    )
+
+
 def attach_predictions(
     sentences: DataFrame, predictions: DataFrame, key: Sequence[str]
 ) -> DataFrame:

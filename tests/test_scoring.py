@@ -115,6 +115,67 @@ def test_filtered_scores_are_worked_out_once(spark, sentences, weights):
     assert found.where("arg_prob <= 0.5").count() == 0
 
 
+def test_filters_below_scoring_reach_the_scan(spark, weights, folder):
+    rows = spark.range(100).select(F.col("id"), F.lit("w2 hot").alias("text"), (F.col("id") % 3).cast("string").alias("lang"))
+    rows.write.parquet(f"{folder}/t")
+    found = C.detect_sentences(spark.read.parquet(f"{folder}/t"), C.LinearModel(weights)).where("lang = '1' AND is_arg = 1")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,1)" in plan.split("PushedFilters:")[1].splitlines()[0]
+    assert plan.count("ArrowEvalPython") == 1 and found.count() in (0, 33)
+
+
+@pytest.mark.parametrize("limit", [C.MAX_BROADCAST, 1000])
+def test_both_models_in_one_pass(spark, sentences, weights, limit):
+    detector = C.LinearModel(weights, bias=-400, max_broadcast=limit)
+    halved = weights.select("token", (-F.col("weight") / 2).cast("bigint").alias("weight"))
+    components = C.LinearModel(halved, bias=250, max_broadcast=limit)
+    fused = C.classify_sentences(sentences, detector, components)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    apart = C.classify_components(C.detect_sentences(sentences, detector), components)
+    got = sorted(fused.collect())
+    assert got == sorted(apart.select(fused.columns).collect())
+    assert {r.component for r in got} == {None, "claim", "premise"}
+
+
+def test_large_tables_are_scored_in_one_scan_without_writing(spark, weights, folder, monkeypatch):
+    spark.range(50).select(F.col("id"), F.lit("w2 w4 hot").alias("text")).write.parquet(f"{folder}/t")
+    model = C.LinearModel(weights, max_broadcast=1000)
+    model.table  # written once, before any scoring
+
+    def refuse(*_):
+        raise AssertionError("scoring wrote a table")
+
+    monkeypatch.setattr(C, "materialize", refuse)
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", refuse)
+    scored = C.add_margin(spark.read.parquet(f"{folder}/t"), T.tokens(F.col("text")), model, "m")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    table = {r.token: r.weight for r in weights.collect()}
+    assert {r.m for r in scored.collect()} == {sum(table.get(w, 0) for w in ("w2", "w4", "hot"))}
+
+
+def test_the_second_table_is_asked_for_chosen_words_only():
+    import pyarrow as pa
+    from argloom.functions import linear as L
+
+    class Table:
+        def __init__(self, weights):
+            self.weights = dict(zip(L.word_hashes(list(weights)).tolist(), weights.values()))
+            self.asked = set()
+
+        def find(self, own):
+            self.asked |= set(own.tolist())
+            return np.array([self.weights.get(h, 0) for h in own.tolist()], dtype=np.int64)
+
+    first, second = Table({"yes": 5, "no": -5}), Table({"yes": 1, "no": 7})
+    lists = pa.array([["yes"], ["no", "rare"], [], ["no", "yes", "yes"]], pa.list_(pa.string()))
+    a, b = L._margins(lists, (first, 0), (second, 10))
+    assert a.to_pylist() == [5, -5, 0, 5] and b.to_pylist() == [11, None, None, 19]
+    assert second.asked == set(L.word_hashes(["yes", "no"]).tolist())
+    a, b = L._margins(lists.slice(3, 1), (first, 1), (second, 0))
+    assert a.to_pylist() == [6] and b.to_pylist() == [9]
+
+
 def test_attach_predictions(spark):
     left = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "id INT, k INT")
     right = spark.createDataFrame([(1, 1, "claim")], "id INT, k INT, component STRING")
