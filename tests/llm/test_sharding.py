@@ -87,7 +87,7 @@ def test_one_text_on_most_rows_fills_several_shards(spark):
     got = S.shard_documents(rows, shards=10).collect()
     check_law(got, 10)
     homes = {r["shard"] for r in got if r["doc_id"] < 700}
-    assert 7 <= len(homes) <= 9
+    assert len(homes) >= 7  # 100 a shard, and the others hold what came to them first
 
 
 def test_equal_texts_lie_together_while_there_is_room(spark):
