@@ -36,5 +36,6 @@ def preprocess_files(
     Returns what became of each of these files; None if there was none.
     """
     return process_files(
-        spark, src, out, lambda docs: preprocess_corpus(docs, [id_col, FILE, *by]), by, glob
+        spark, src, out, lambda docs: preprocess_corpus(docs, [id_col, FILE, *by]), by, glob,
+        columns=[id_col, *by, *CONTENT_COLUMNS],
     )

@@ -1,6 +1,7 @@
 """Sources, sinks, kept models, resuming and streaming."""
 
 import json
+from collections import Counter
 from pathlib import Path
 
 import pyarrow as pa
@@ -229,6 +230,128 @@ def test_stream_goes_on_after_a_damaged_file(spark, folder):
     assert status == {**{k: v[2] for k, v in WANT.items()}, "late": "done"}
 
 
+@pytest.fixture()
+def reads(monkeypatch):
+    """The files of every read that goes beyond footers, in order."""
+    from argloom.plans import files as P
+    from argloom.sources import manifest as M
+
+    calls = []
+
+    def reading(*args):
+        read = M.reading(*args)
+
+        def counted(session, paths):
+            calls.append(sorted(Path(p).stem for p in paths))
+            return read(session, paths)
+
+        return counted
+
+    monkeypatch.setattr(P, "reading", reading)
+    return calls
+
+
+def test_whole_files_are_read_once(spark, folder, reads):
+    rows = [(i, f"Sentence {i} of many. And more.", "eng") for i in range(500)]
+    documents(spark, rows).repartition(8).write.parquet(f"{folder}/in")
+    preprocess_files(spark, f"{folder}/in", f"{folder}/out")
+    assert len(reads) == 1 and len(reads[0]) == 8
+    assert spark.read.parquet(f"{folder}/out").count() == 1000
+
+
+def test_only_files_near_damage_are_read_again(spark, folder, reads):
+    documents(spark, [(i, "One.", "eng") for i in range(90)]).selectExpr("bigint(id) AS id", "main_content").repartition(30).write.parquet(f"{folder}/in")
+    damaged_file(f"{folder}/in/damaged.parquet")
+    report = preprocess_files(spark, f"{folder}/in", f"{folder}/out")
+    assert [Path(r.path).stem for r in report.where("status = 'failed'").collect()] == ["damaged"]
+    first, suspects, again = reads
+    assert len(first) == 31 and "damaged" in suspects and len(suspects) <= 4 and len(again) == 30
+    assert spark.read.parquet(f"{folder}/out").count() == 90
+
+
+def test_the_job_reads_only_its_columns(spark, folder):
+    from argloom.sources.manifest import reading
+
+    documents(spark).withColumn("rest", F.lit("x" * 99)).write.parquet(f"{folder}/in")
+    read = reading(f"{folder}/in", ["id", "main_content", "plain_text"])(spark, [f"{folder}/in"])
+    schema = read._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1]
+    assert "main_content" in schema and "rest" not in schema
+
+
+def mended(path, rows):
+    Path(path).unlink()
+    pq.write_table(pa.table({"id": [r[0] for r in rows], "main_content": [r[1] for r in rows]}), path)
+
+
+SCHEMA = "id LONG, main_content STRING"
+
+
+def stream(spark, src, folder):
+    incremental_sentences(spark, src, f"{folder}/out", f"{folder}/mark", SCHEMA, "id", "main_content")
+    return sorted(r.text for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def test_a_mended_file_comes_back_once(spark, folder):
+    src = tree(spark, folder)
+    assert stream(spark, src, folder) == ["One.", "Three.", "Two."]  # nothing of the damaged file
+    assert stream(spark, src, folder) == ["One.", "Three.", "Two."]
+    mended(f"{src}/damaged.parquet", [(7, "Mended. Whole.")])
+    for _ in range(2):
+        assert stream(spark, src, folder) == ["Mended.", "One.", "Three.", "Two.", "Whole."]
+    mended(f"{src}/other.parquet", [(8, "Parquet now.")])
+    assert "Parquet now." in stream(spark, src, folder)
+    status = {Path(r.path).stem: r.status for r in read_manifest(spark, f"{folder}/out").collect()}
+    assert set(status.values()) == {"done"}
+
+
+def test_mending_again_after_a_kill_gives_equal_rows(spark, folder, monkeypatch):
+    from argloom.streaming import incremental as I
+
+    src = tree(spark, folder)
+    before = stream(spark, src, folder)
+    mended(f"{src}/damaged.parquet", [(7, "Mended. Whole.")])
+
+    def killed(report, dst):
+        raise RuntimeError("killed before the manifest")
+
+    monkeypatch.setattr(I, "write_manifest", killed)
+    with pytest.raises(RuntimeError):
+        stream(spark, src, folder)
+    monkeypatch.undo()
+    mended(f"{src}/other.parquet", [(8, "Parquet now.")])  # what is behind differs from the time before
+    want = sorted([*before, "Mended.", "Whole.", "Parquet now."])
+    assert stream(spark, src, folder) == want == stream(spark, src, folder)
+
+
+def test_a_batch_replayed_after_a_kill_gives_equal_rows(spark, folder, monkeypatch):
+    from argloom.streaming import incremental as I
+
+    src = tree(spark, folder)
+
+    def killed(report, dst):
+        raise RuntimeError("killed before the manifest")
+
+    monkeypatch.setattr(I, "write_manifest", killed)
+    with pytest.raises(Exception):
+        stream(spark, src, folder)
+    monkeypatch.undo()
+    assert stream(spark, src, folder) == ["One.", "Three.", "Two."]
+
+
+def test_counts_too_high_are_looked_into(spark, folder):
+    """Rows that count twice, as after a lost executor, make a file suspect but not damaged."""
+    from argloom.sources import manifest as M
+
+    documents(spark).coalesce(1).write.parquet(f"{folder}/in")
+    files = M.footers(spark, f"{folder}/in", M.as_files(O.list_files(spark, f"{folder}/in", "*.parquet")))
+    read, staged = M.reading(f"{folder}/in"), spark.range(3)
+    counts = Counter()
+    for f in files:
+        counts[M.bucket(f.source_file)] += 2 * f.expected
+    rows, report = M.settle(files, counts, staged, read, lambda df: df)
+    assert rows is staged and [(f.read, f.status) for f in report] == [(3, "done")]
+
+
 class _Session:
     """As much of a session as the scratch folder looks at."""
 
