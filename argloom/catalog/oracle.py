@@ -241,6 +241,110 @@ BALANCED_DOCS = """SELECT doc_id, {0} FROM (SELECT doc_id, {0},
     row_number() OVER (PARTITION BY {0} ORDER BY md5('42:' || doc_id), doc_id) AS r FROM labels)
   WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY {0}))"""
 
+
+
+def training_rounds(n: str, classes: int, rounds: int, rate: int) -> str:
+    """CTEs of losses by round in ``{n}_loss`` and weights in ``{n}_w1`` and so on.
+
+    Needs ``{n}_row`` (rid, label, part) and ``{n}_item`` (rid, token, x in thousandths).
+    """
+    c = range(classes)
+    parts = []
+    for r in range(rounds + 1):
+        if r == 0:
+            z = f"SELECT rid, label, part, {', '.join(f'0::DOUBLE AS z{i}' for i in c)} FROM {n}_row"
+        else:
+            sums = ", ".join(f"coalesce(sum(x * w{i}), 0)::BIGINT::DOUBLE / 1000000000::DOUBLE AS z{i}" for i in c)
+            z = f"""SELECT rid, any_value(label) AS label, any_value(part) AS part, {sums}
+              FROM {n}_row JOIN {n}_item USING (rid) LEFT JOIN {n}_w{r} USING (token) GROUP BY rid"""
+        top = f"greatest({', '.join(f'z{i}' for i in c)})"
+        total = " + ".join(f"e{i}" for i in c)
+        off = ", ".join(f"round(((label = {i})::INTEGER::DOUBLE - e{i} / ({total})) * 1000000)::BIGINT AS o{i}" for i in c)
+        own = "CASE label " + " ".join(f"WHEN {i} THEN z{i}" for i in c) + " END"
+        parts.append(f"""
+{n}_z{r} AS MATERIALIZED ({z}),
+{n}_o{r} AS MATERIALIZED (SELECT rid, label, part, {off}, round((ln({total}) - ({own} - {top})) * 1000000)::BIGINT AS loss
+  FROM (SELECT *, {", ".join(f"exp(z{i} - {top}) AS e{i}" for i in c)} FROM {n}_z{r}))""")
+        if r == rounds:
+            break
+        moves = ", ".join(f"sign(sum(x * o{i}))::BIGINT * ((abs(sum(x * o{i})) // sum(x)) * {rate} // 1000)::BIGINT AS d{i}" for i in c)
+        before = f"FULL JOIN {n}_w{r} USING (token)" if r else ""
+        added = ", ".join(f"coalesce(d{i}, 0) + {f'coalesce(w{i}, 0)' if r else '0'} AS w{i}" for i in c)
+        parts.append(f"""
+{n}_w{r + 1} AS MATERIALIZED (SELECT token, {added} FROM
+  (SELECT token, {moves} FROM {n}_o{r} JOIN {n}_item USING (rid) WHERE part = 'train' GROUP BY token) {before})""")
+    losses = " UNION ALL ".join(
+        f"SELECT {r} AS round, sum(loss) FILTER (part = 'train')::BIGINT AS train_loss, "
+        f"sum(loss) FILTER (part = 'val')::BIGINT AS val_loss FROM {n}_o{r}"
+        for r in range(rounds + 1)
+    )
+    return ",".join(parts) + f""",
+{n}_all AS MATERIALIZED ({losses}),
+{n}_best AS (SELECT a.round, (SELECT b.round FROM {n}_all b WHERE b.round <= a.round ORDER BY b.val_loss, b.round LIMIT 1) AS best
+  FROM {n}_all a),
+{n}_stop AS (SELECT coalesce(min(round) FILTER (round - best >= 2), {rounds}) AS last FROM {n}_best),
+{n}_loss AS (SELECT a.*, a.round = (SELECT best FROM {n}_best, {n}_stop WHERE round = last) AS chosen
+  FROM {n}_all a, {n}_stop WHERE a.round <= last)"""
+
+
+def words_of(n: str, text: str) -> str:
+    """Words of ``{n}_text`` (rid, text...) and a bias, as items."""
+    return f"""SELECT rid, token, 1000 * count(*) AS x FROM (SELECT rid, unnest({text}) AS token FROM {n}_text) GROUP BY ALL
+  UNION ALL SELECT rid, chr(1) || 'bias', 1000 FROM {n}_text"""
+
+
+LOSSES = "SELECT round, train_loss, val_loss, chosen FROM"
+TRAINED = f"""{SENT},{BAL},
+tr_text AS MATERIALIZED (SELECT row_number() OVER () AS rid, sentence, label, "set" AS part FROM bal WHERE "set" <> 'test'),
+tr_row AS (SELECT rid, label, part FROM tr_text),
+tr_item AS MATERIALIZED ({words_of("tr", tokens("sentence"))}),{training_rounds("tr", 2, 4, 100)}"""
+_FEATURES = ("gap", "overlap", "len_ratio", "neg")
+PAIRED = f"""{ARGS},
+pr_pair AS MATERIALIZED (SELECT row_number() OVER () AS rid, a.arg_idx AS source, b.arg_idx AS target, {tokens("a.text")} AS a,
+    {tokens("b.text")} AS b, CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS label, {SPLIT} AS part
+  FROM args a JOIN args b USING (doc_id) JOIN labels USING (doc_id) WHERE b.arg_idx - a.arg_idx BETWEEN 1 AND 2),
+pr_text AS MATERIALIZED (SELECT *, list_distinct(a) AS da, list_distinct(b) AS db FROM pr_pair WHERE part <> 'test'),
+pr_row AS (SELECT rid, label, part FROM pr_text),
+pr_feature AS (SELECT rid, 1000 * abs(source - target) AS gap,
+    round(1000 * (len(list_intersect(da, db))::DOUBLE / greatest(len(da) + len(db) - len(list_intersect(da, db)), 1)))::BIGINT AS overlap,
+    round(1000 * (least(len(a), len(b))::DOUBLE / greatest(len(a), len(b), 1)))::BIGINT AS len_ratio,
+    1000 * (list_has_any(a, {NEGATIONS}) <> list_has_any(b, {NEGATIONS}))::INTEGER AS neg FROM pr_text),
+pr_item AS MATERIALIZED ({words_of("pr", "list_concat(a, b)")}
+  {" ".join(f"UNION ALL SELECT rid, chr(1) || '{f}', {f} FROM pr_feature" for f in _FEATURES)}),{training_rounds("pr", 3, 4, 100)}"""
+# The weights of the chosen round, and of every pair under them the three logits.
+_CHOSEN = " UNION ALL ".join(f"SELECT token, w0, w1, w2 FROM pr_w{r} WHERE (SELECT round FROM pr_loss WHERE chosen) = {r}" for r in range(1, 5))
+
+
+def _fitted_logit(i: int) -> str:
+    def weight(name: str) -> str:
+        return f"coalesce((SELECT w{i} FROM chosen WHERE token = chr(1) || '{name}'), 0)::DOUBLE / 1000000::DOUBLE"
+
+    terms = " + ".join(f"{weight(f)} * {col}" for f, col in zip(_FEATURES, ("gap", "overlap", "ratio", "neg")))
+    return f"({weight('bias')} + {terms} + (a_sum{i} + b_sum{i})::DOUBLE / 1000000::DOUBLE) AS y{i}"
+
+
+_SUMS = ", ".join(f"coalesce(sum(w{i}), 0)::BIGINT AS sum{i}" for i in range(3))
+_Y = "greatest(y0, y1, y2)"
+_EY = " + ".join(f"exp(y{i} - {_Y})" for i in range(3))
+FITTED = f"""{PAIRED},{pairs(5)},
+chosen AS MATERIALIZED ({_CHOSEN}),
+arg_word AS (SELECT doc_id, arg_idx, w, list_distinct(w) AS d, len(w) AS n, list_has_any(w, {NEGATIONS}) AS neg
+  FROM (SELECT doc_id, arg_idx, {tokens("text")} AS w FROM args)),
+arg_sum AS (SELECT doc_id, arg_idx, {_SUMS} FROM (SELECT doc_id, arg_idx, unnest(w) AS token FROM arg_word)
+  JOIN chosen USING (token) GROUP BY ALL),
+arg_all AS (SELECT w.*, {", ".join(f"coalesce(sum{i}, 0) AS sum{i}" for i in range(3))}
+  FROM arg_word w LEFT JOIN arg_sum USING (doc_id, arg_idx)),
+fit_pair AS (SELECT p.doc_id, source, target, abs(source - target)::DOUBLE AS gap,
+    len(list_intersect(a.d, b.d))::DOUBLE / greatest(len(a.d) + len(b.d) - len(list_intersect(a.d, b.d)), 1) AS overlap,
+    least(a.n, b.n)::DOUBLE / greatest(a.n, b.n, 1) AS ratio, (a.neg <> b.neg)::INTEGER::DOUBLE AS neg,
+    {", ".join(f"a.sum{i} AS a_sum{i}, b.sum{i} AS b_sum{i}" for i in range(3))}
+  FROM pairs p JOIN arg_all a ON a.doc_id = p.doc_id AND a.arg_idx = p.source
+    JOIN arg_all b ON b.doc_id = p.doc_id AND b.arg_idx = p.target),
+fit_logit AS (SELECT doc_id, source, target, {", ".join(_fitted_logit(i) for i in range(3))} FROM fit_pair),
+fit AS (SELECT *, CASE {_Y} WHEN y0 THEN 'neither' WHEN y1 THEN 'support' ELSE 'attack' END AS type,
+    {", ".join(f"exp(y{i} - {_Y}) / ({_EY}) AS q{i}" for i in range(3))} FROM fit_logit)"""
+TRIAL_BIASES = "(VALUES (0, -4000000), (1, -2000000), (2, 0), (3, 2000000), (4, 4000000), (5, 0)) t(trial, bias)"
+
 EXPORTED = """{'doc_id': doc_id, 'lang': lang, 'text': text, 'n_chars': n_chars,
     'note': CASE WHEN doc_id % 2 = 0 THEN lang END}"""
 BIASES = "(VALUES (0, -4000000), (1, -2000000), (2, 0), (3, 2000000), (4, 4000000)) t(trial, bias)"
@@ -349,6 +453,18 @@ ORACLE: dict[str, str] = {
           WHERE "set" = 'val'),{confusion_scores("tried", "trial")},
         trials AS ({weighted("trial")})
         SELECT trial, f1, accuracy FROM trials ORDER BY f1 DESC, trial LIMIT 1""",
+    "best_model_loss": f"""WITH {HELD},
+        tried AS (SELECT trial, (CASE WHEN label = 1 THEN -(m + bias) ELSE m + bias END) / 1000000::DOUBLE AS wrong
+          FROM held, {TRIAL_BIASES} WHERE "set" = 'val'),
+        trials AS (SELECT trial, count(*) AS rows,
+          sum(round((greatest(wrong, 0) + ln(1 + exp(-abs(wrong)))) * 1000000)::BIGINT)::BIGINT AS loss_sum FROM tried GROUP BY trial),
+        ends AS ((SELECT 'min' AS mode, * FROM trials ORDER BY loss_sum, trial LIMIT 1)
+          UNION ALL (SELECT 'max', * FROM trials ORDER BY loss_sum DESC, trial LIMIT 1))
+        SELECT mode, trial, rows, loss_sum, round(loss_sum::DOUBLE / rows / 1000000, 6) AS loss FROM ends""",
+    "train_rounds": f"WITH {TRAINED} {LOSSES} tr_loss",
+    "train_relations": f"WITH {PAIRED} {LOSSES} pr_loss",
+    "relate_fitted": f"""WITH {FITTED} SELECT doc_id, source, target, type, round(greatest(q0, q1, q2), 6) AS prob,
+        round(q0, 6) AS p0, round(q1, 6) AS p1, round(q2, 6) AS p2 FROM fit WHERE type NOT IN ('none', 'neither')""",
     "fit_vocabulary": f"""WITH {LABELLED},
         voc AS (SELECT token, count(*) AS n FROM (SELECT unnest({tokens("sentence")}) AS token
           FROM labelled WHERE "set" = 'train') GROUP BY token)

@@ -21,6 +21,7 @@ from argloom.operators import (
     evaluate as E,
     pairs as R,
     relations as L,
+    rounds as G,
     sampling as S,
     scoring as C,
     text as X,
@@ -613,6 +614,57 @@ def best_model(spark, sf):
     return E.best_model(trials, "f1", "max").select("trial", _r("f1", "f1"), _r("accuracy", "accuracy"))
 
 
+def best_model_loss(spark, sf):
+    """The same trials by the smallest and by the largest log loss; equal ones go to the lowest number."""
+    rows = _argument_splits(spark, sf).where("`set` = 'val'")
+    margins = C.add_margin(rows, T.tokens(F.col("sentence")), _detector(spark, sf), "margin")
+    biases = [-4_000_000, -2_000_000, 0, 2_000_000, 4_000_000, 0]
+    tried = margins.select(
+        "label", "margin",
+        F.posexplode(F.array(*[F.lit(b) for b in biases])).alias("trial", "bias"),
+    ).withColumn("margin", F.col("margin") + F.col("bias"))
+    trials = materialize(E.log_loss(tried, by=["trial"]), "trials")
+    chosen = [E.best_model(trials, "loss_sum", mode).withColumn("mode", F.lit(mode)) for mode in ("min", "max")]
+    return M.stack_tables(chosen).select("mode", "trial", "rows", "loss_sum", _r("loss", "loss"))
+
+
+ROUNDS = {"rounds": 4, "patience": 2, "rate": 100}
+
+
+def train_rounds(spark, sf):
+    rows = _argument_splits(spark, sf).select("sentence", "label", F.col("set").alias("part"))
+    return G.train_rounds(rows, 2, **ROUNDS).history
+
+
+def _labelled_pairs(spark, sf):
+    """Neighbouring arguments of labelled documents; what the labels of the document make of the pair is made up."""
+    label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(0)
+    near = R.windowed_pairs(_args(spark, sf), "doc_id", window=2, ordered=False)
+    return near.join(_labels(spark, sf), "doc_id").select(
+        "source", "target", "source_text", "target_text", label.alias("label"), _split().alias("part")
+    )
+
+
+@_once
+def _fitted_relations(spark, sf):
+    return L.train_relations(_labelled_pairs(spark, sf), STANCE_LABELS, **ROUNDS)
+
+
+def train_relations(spark, sf):
+    return _fitted_relations(spark, sf)[1].history
+
+
+def relate_fitted(spark, sf):
+    """The fitted model, kept and read again, over whole documents."""
+    path = _model_path(spark, "relations")
+    K.save_relations(_fitted_relations(spark, sf)[0], path)
+    related = D.relate_nested(_nested(spark, sf), K.load_relations(spark, path), WINDOW)
+    return D.relation_edges(related, "doc_id").select(
+        "doc_id", "source", "target", "type", _r("prob", "prob"),
+        *[_r(F.col("probs")[i], f"p{i}") for i in range(3)],
+    )
+
+
 def fit_vocabulary(spark, sf):
     train = M.select_split(_labelled(spark, sf), "train")
     return M.fit_vocabulary(X.tokenize(train, "sentence"))
@@ -820,6 +872,10 @@ QUERIES: dict[str, Query] = {
     "shuffle_rows": shuffle_rows,
     "stack_files": stack_files,
     "best_model": best_model,
+    "best_model_loss": best_model_loss,
+    "train_rounds": train_rounds,
+    "train_relations": train_relations,
+    "relate_fitted": relate_fitted,
     "fit_vocabulary": fit_vocabulary,
     "train_log_odds": train_log_odds,
     "train_classifier": train_classifier,

@@ -172,3 +172,32 @@ def nested_cascade(first: Scorer, second: Scorer) -> Callable[[Column], Column]:
         return _nested(documents, _pair(documents.flatten(), first, second))
 
     return margins
+
+
+def _class_margins(lists: pa.ListArray, models: Sequence[Scorer]) -> pa.ListArray:
+    words, offsets = lists.flatten().dictionary_encode(), _offsets(lists)
+    hashes = word_hashes(words.dictionary.to_pylist())
+    at = words.indices.to_numpy(zero_copy_only=False)
+    sums = [_sum_lists(table.find(hashes)[at], offsets) + bias for table, bias in models]
+    ends = np.arange(len(lists) + 1, dtype=np.int32) * len(models)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.stack(sums, axis=1).ravel()))
+
+
+def list_class_margins(models: Sequence[Scorer]) -> Callable[[Column], Column]:
+    """``array<string>`` to an array with one margin per model, in one pass."""
+
+    @arrow_udf("array<bigint>")
+    def margins(words: pa.Array) -> pa.Array:
+        return _class_margins(words, models)
+
+    return margins
+
+
+def nested_class_margins(models: Sequence[Scorer]) -> Callable[[Column], Column]:
+    """The same for ``array<array<string>>``, one array of margins per inner list."""
+
+    @arrow_udf("array<array<bigint>>")
+    def margins(documents: pa.Array) -> pa.Array:
+        return _nested(documents, _class_margins(documents.flatten(), models))
+
+    return margins

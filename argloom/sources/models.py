@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from argloom.operators.relations import RelationModel
 from argloom.operators.scoring import LinearModel
 from argloom.sources.corpus import exists
 
@@ -52,3 +54,28 @@ def load_or_train(
         return PipelineModel.load(path)
     train().write().overwrite().save(path)
     return PipelineModel.load(path)
+
+
+def save_relations(model: RelationModel, path: str) -> None:
+    """Keep a relation model: labels, feature weights and bias as one line, words by class as a table."""
+    spark = SparkSession.active()
+    fields = {f: getattr(model, f) for f in ("labels", "weights", "bias", "negations", "null_labels")}
+    fields["fitted"] = bool(model.words)
+    spark.createDataFrame([(json.dumps(fields),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+    if model.words:
+        tables = [m.weights.withColumn("class", F.lit(number)) for number, m in enumerate(model.words)]
+        table = tables[0]
+        for more in tables[1:]:
+            table = table.unionByName(more)
+        table.write.mode("overwrite").partitionBy("class").parquet(f"{path}/words")
+
+
+def load_relations(spark: SparkSession, path: str) -> RelationModel:
+    """A kept relation model."""
+    fields = json.loads(spark.read.text(f"{path}/model").first()["value"])
+    words = ()
+    if fields.pop("fitted"):
+        table = spark.read.schema("token STRING, weight BIGINT, class INT").parquet(f"{path}/words")
+        words = tuple(LinearModel(table.where(F.col("class") == number)) for number in range(len(fields["labels"])))
+    fields["weights"] = [tuple(row) for row in fields["weights"]]
+    return RelationModel(**{name: tuple(value) for name, value in fields.items()}, words=words)
