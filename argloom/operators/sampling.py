@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from argloom.session import materialize
 
@@ -73,21 +71,82 @@ def sample_exactly(
     )
 
 
+def _cuts(ranks: DataFrame, targets: DataFrame) -> DataFrame:
+    """For every class, what its ``n`` smallest ranks begin with at most: ``class, cut, below, within``.
+
+    Follows the leading digits of all classes at once, so the number of passes
+    is bounded by the length of a rank, whatever the number of classes. ``below``
+    ranks of the class are smaller than ``cut`` in its leading digits, ``within``
+    begin with it; together they are at least ``n``, and more only where copies
+    share the rank.
+    """
+    state = targets.select(
+        "class", "n", F.lit("").alias("cut"), F.lit(0).cast("bigint").alias("below"), F.col("total").alias("within")
+    )
+    open_class = (F.col("below") + F.col("within") > F.col("n")) & (F.length("cut") < 32)
+    digits = F.substring("rank", F.length("cut") + 1, F.lit(_DIGITS))
+    so_far = Window.partitionBy("class").orderBy("digits")  # at most 16**_DIGITS rows a class
+    while not state.where(open_class).isEmpty():
+        asked = state.where(open_class)
+        counts = (
+            ranks.join(asked, ranks["_class"].eqNullSafe(asked["class"]))
+            .where(F.col("rank").startswith(F.col("cut")))
+            .groupBy("class", "n", "cut", "below", digits.alias("digits"))
+            .agg(F.count("*").alias("within"))
+        )
+        summed = counts.withColumn("upto", F.col("below") + F.sum("within").over(so_far))
+        found = summed.where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("within") < F.col("n")))
+        moved = found.select(
+            "class", "n", F.concat("cut", "digits").alias("cut"), (F.col("upto") - F.col("within")).alias("below"), "within"
+        )
+        state = materialize(state.where(~open_class).unionByName(moved), "cuts")
+    return state
+
+
+def sample_each(
+    df: DataFrame, targets: DataFrame, key: Sequence[str], label: str = "label", seed: int = 42
+) -> DataFrame:
+    """Of every class, the rows of its ``n`` smallest seeded ranks; ``targets`` has ``class, n, total``.
+
+    ``total`` is the number of rows of the class. A class without a target is
+    left out, one of at most ``n`` rows is kept whole, and a null label is a
+    class. The result is a filter on the rank. Copies that share a rank at the
+    cut are numbered and cut once more, those of all classes together.
+    """
+    names = df.columns
+    rank = seeded_rank(key, seed)
+    targets = materialize(targets.where("n > 0"), "targets")
+    ranks = df.select(F.col(label).alias("_class"), rank.alias("rank"))
+    ranks = materialize(ranks.join(targets.where("total > n"), F.col("_class").eqNullSafe(F.col("class")), "left_semi"), "ranks")
+    cuts = _cuts(ranks, targets).select(
+        F.col("class").alias("_class"), F.col("cut").alias("_cut"), "n", "below",
+        (F.col("below") + F.col("within") > F.col("n")).alias("_over"),
+    )
+    cuts = materialize(cuts, "cuts")
+    placed = df.join(cuts, df[label].eqNullSafe(cuts["_class"]))
+    start = F.substring(rank, F.lit(1), F.length("_cut"))
+    sampled = placed.where((start < F.col("_cut")) | ((start == F.col("_cut")) & ~F.col("_over"))).select(names)
+    more = cuts.where("_over").select(F.col("_class").alias("class"), (F.col("n") - F.col("below")).alias("n"))
+    if more.isEmpty():
+        return sampled
+    copies = placed.where((start == F.col("_cut")) & F.col("_over")).select(names)
+    copies = materialize(copies.withColumn("_copy", F.monotonically_increasing_id()), "copies")
+    sizes = copies.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("total"))
+    more = more.join(sizes, F.col("class").eqNullSafe(F.col("_class"))).drop("_class")
+    return sampled.unionByName(sample_each(copies, more, ["_copy"], label, seed).drop("_copy"))
+
+
 def balance_classes(
     df: DataFrame, key: str | Sequence[str], label: str = "label", seed: int = 42
 ) -> DataFrame:
-    """Sample every larger class down to the size of the smallest one; a null label is a class."""
+    """Sample every larger class down to the size of the smallest one; a null label is a class.
+
+    The number of passes does not depend on the number of classes.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    sizes = {row[label]: row.n for row in class_counts(df, label).collect()}
-    smallest = min(sizes.values(), default=0)
-    is_class = {value: F.col(label).eqNullSafe(F.lit(value)) for value in sizes}
-    balanced = df.where(reduce(or_, [is_class[c] for c, n in sizes.items() if n == smallest], F.lit(False)))
-    for value, n in sizes.items():
-        if n > smallest:
-            balanced = balanced.unionByName(
-                sample_exactly(df.where(is_class[value]), smallest, key, seed, total=n)
-            )
-    return balanced
+    sizes = materialize(class_counts(df, label).select(F.col(label).alias("class"), F.col("n").alias("total")), "sizes")
+    smallest = sizes.agg(F.min("total")).first()[0] or 0
+    return sample_each(df, sizes.withColumn("n", F.lit(smallest).cast("bigint")), key, label, seed)
 
 
 def shuffle_rows(df: DataFrame, key: str | Sequence[str], seed: int = 42) -> DataFrame:

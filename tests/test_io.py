@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
@@ -63,6 +64,46 @@ def test_labelled_files_with_quotes_and_other_column_order(spark, folder):
     assert rows["No mark"].extra == "z" and rows['Say "hi'].extra is None
 
 
+def test_headers_cost_the_same_for_any_size(spark, folder, monkeypatch):
+    from argloom.sources import labelled as A
+
+    (Path(folder) / "small.tsv").write_text("sentence\tset\nOne.\ttrain\n")
+    (Path(folder) / "large.tsv").write_text("sentence\tset\n" + "Many of them.\tval\n" * 200_000)
+    (Path(folder) / "wide.tsv").write_text("\t".join(f"c{i}" for i in range(3000)) + "\n" + "\t".join("v" for _ in range(3000)))
+    (Path(folder) / "none.tsv").write_text("")
+    sizes = []
+
+    class Watched:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            data = self.file.read(n)
+            sizes.append(len(data))
+            return data
+
+    class System:
+        @staticmethod
+        def from_uri(path):
+            system, place = pa.fs.FileSystem.from_uri(path)
+            return type("S", (), {"open_input_file": lambda self, p: Watched(system.open_input_file(p))})(), place
+
+    monkeypatch.setattr(A, "FileSystem", System)
+    assert A._first_line(f"{folder}/large.tsv") == b"sentence\tset" and sum(sizes) <= A.HEAD
+    assert len(A._first_line(f"{folder}/wide.tsv").split(b"\t")) == 3000
+    monkeypatch.undo()
+    groups = A.read_headers(spark, folder, "*.tsv")
+    assert [sorted(Path(p).stem for p in files) for files in groups.values()] == [["wide"], ["large", "small"]]
+    assert scan_labelled(spark, folder).where("sentence IS NOT NULL").count() == 200_001
+    assert A.read_headers(spark, folder, "*.csv") == {}
+
+
 def test_unreadable_files_stay_visible(spark, folder):
     W.write_mirrored(documents(spark), folder, ["language"])
     (Path(folder) / "language=eng" / "broken.parquet").write_bytes(b"not parquet")

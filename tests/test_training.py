@@ -59,6 +59,37 @@ def test_null_labels_are_a_class_of_their_own(spark):
     assert {r.label: r.n for r in S.class_counts(out).collect()} == {None: 2, 0: 2, 1: 2}
 
 
+def ranked(df, n, label, seed=42):
+    """The rows that a sort within each class would keep, as a multiset of (label, rank)."""
+    by_class = {}
+    for r in df.select(label, S.seeded_rank(["id"], seed).alias("r")).collect():
+        by_class.setdefault(r[label], []).append(r.r)
+    return sorted((str(c), x) for c, all_ranks in by_class.items() for x in sorted(all_ranks)[:n])
+
+
+@pytest.mark.parametrize("classes", [3, 500])
+def test_many_classes_take_no_more_passes(spark, classes, monkeypatch):
+    rng = random.Random(classes)
+    rows = [(i, i % classes) for i in range(4 * classes)] + [(10**6 + i, rng.randrange(classes)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id INT, label INT").repartition(5).cache()
+    writes, write = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda frame, name: writes.append(name) or write(frame, name))
+    out = S.balance_classes(df, "id").cache()
+    smallest = min(r.n for r in S.class_counts(df).collect())
+    assert {r.n for r in S.class_counts(out).collect()} == {smallest}
+    assert sorted((str(r.label), r.r) for r in out.select("label", S.seeded_rank(["id"], 42).alias("r")).collect()) == ranked(df, smallest, "label")
+    assert len(writes) <= 9
+
+
+def test_copies_in_many_classes(spark):
+    rows = [(1, c) for c in range(4) for _ in range(30 + c)] + [(2 + i, c) for c in range(4) for i in range(c)] + [(5, None)] * 40
+    df = spark.createDataFrame(rows, "id INT, label INT").repartition(3)
+    out = S.balance_classes(df, "id")
+    assert {r.label: r.n for r in S.class_counts(out).collect()} == dict.fromkeys([0, 1, 2, 3, None], 30)
+    assert sorted((str(r.label), r.r) for r in out.select("label", S.seeded_rank(["id"], 42).alias("r")).collect()) == ranked(df, 30, "label")
+    assert S.balance_classes(df.limit(0), "id").count() == 0
+
+
 def test_shuffle_keeps_rows(spark):
     df = rows_of(spark, 300, hot=150)
     out = S.shuffle_rows(df, "id").collect()
