@@ -55,6 +55,32 @@ def sentences(name: str, source: str, keys: str, col: str) -> str:
   FROM {name}_group GROUP BY {keys}, g)"""
 
 
+def tight_sentences(name: str, source: str, keys: str, clean: str) -> str:
+    """The same with breaks before a bracket, ``*`` or ``@``; those carry chr(3) at the end of a piece."""
+    over = f"PARTITION BY {keys} ORDER BY k"
+    return f"""
+{name}_list AS (SELECT {keys}, string_split(regexp_replace(regexp_replace({clean}, '{END}', '\\1' || chr(1), 'g'),
+    '([.!?]["'')\]}}]*)([(\[{{*@])', '\\1' || chr(3) || chr(1) || '\\2', 'g'), chr(1)) AS p FROM {source}),
+{name}_piece AS (SELECT {keys}, k, ends, rtrim(t, chr(3)) AS t FROM (SELECT *, ends_with(t, chr(3)) AS ends FROM
+  (SELECT {keys}, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM {name}_list)) WHERE t <> ''),
+{name}_next AS (SELECT *, lead(t) OVER ({over}) AS nx,
+    coalesce(sum(length(t) + (NOT ends)::INTEGER) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+  FROM {name}_piece),
+{name}_break AS (SELECT *, CASE WHEN nx IS NULL THEN 0
+    WHEN regexp_matches(t, '{DOTS}') THEN 0
+    WHEN ends AND regexp_matches(t, '{INIT}') THEN 0
+    WHEN ends THEN 1
+    WHEN regexp_matches(t, '{INIT}') AND regexp_matches(nx, '{NEXT_INIT}') THEN 0
+    WHEN regexp_matches(t, '{NUM}') AND regexp_matches(nx, '{NEXT_NUM}') THEN 0 ELSE 1 END AS br
+  FROM {name}_next),
+{name}_group AS (SELECT *, coalesce(sum(br) OVER ({over}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM {name}_break),
+{name} AS (SELECT {keys}, g::INTEGER AS sent_idx,
+    rtrim(string_agg(t || CASE WHEN ends THEN '' ELSE ' ' END, '' ORDER BY k), ' ') AS text,
+    min(st)::BIGINT AS start_index, max(st + length(t))::BIGINT AS end_index
+  FROM {name}_group GROUP BY {keys}, g)"""
+
+
 SENT = sentences("sent", "documents", "doc_id", "text")
 
 SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
@@ -389,6 +415,9 @@ ORACLE: dict[str, str] = {
         '{WS}', ' ', 'g'), ' ') AS html FROM pages""",
     "split_sentences": f"WITH {SENT} SELECT * FROM sent",
     "split_pages": f"WITH {sentences('sent', 'pages', 'page_id', 'html')} SELECT * FROM sent",
+    "split_tight": f"""WITH tight_text AS (SELECT page_id, {CLEAN % 'html'} AS clean FROM pages UNION ALL
+          SELECT -1 - doc_id, regexp_replace({CLEAN % 'text'}, '([.!?]) ([A-M])', '\\1(\\2', 'g') FROM documents),
+        {tight_sentences("tight", "tight_text", "page_id", "clean")} SELECT * FROM tight""",
     "split_conversations": f"""WITH {sentences('sent', 'conversations', 'conv_id, turn', 'text')}
         SELECT * FROM sent""",
     "span_text": f"""WITH {SENT} SELECT doc_id, sent_idx,

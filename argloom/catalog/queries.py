@@ -363,6 +363,14 @@ def split_sentences(spark, sf):
     return _sentences(spark, sf)
 
 
+def split_tight(spark, sf):
+    """Pages are full of marks that follow a sentence at once; documents get brackets where blanks were."""
+    pages = X.clean_text(_table(spark, sf, "pages", "page_id", "html"), "html")
+    docs = _documents(spark, sf).select((-1 - F.col("doc_id")).alias("page_id"), F.col("text").alias("html"))
+    docs = X.clean_text(docs, "html").withColumn("html", F.regexp_replace("html", r"([.!?]) ([A-M])", "$1($2"))
+    return X.split_sentences(pages.unionByName(docs), "page_id", "html", tight=True)
+
+
 def split_pages(spark, sf):
     pages = _table(spark, sf, "pages", "page_id", "html")
     return X.split_sentences(X.clean_text(pages, "html"), "page_id", "html")
@@ -837,6 +845,7 @@ QUERIES: dict[str, Query] = {
     "clean_html": clean_html,
     "split_sentences": split_sentences,
     "split_pages": split_pages,
+    "split_tight": split_tight,
     "split_conversations": split_conversations,
     "span_text": span_text,
     "flatten_positions": flatten_positions,

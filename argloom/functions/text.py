@@ -21,15 +21,19 @@ SENTENCE_END = r"""([.!?]["')\]}]*) """
 ELLIPSIS = r"""\.\.["')\]}]*"""
 INITIAL = r"""\p{L}\.(?<![\p{L}\p{N}]\p{L}\.)(?= [\p{L};:,.!?])"""
 NUMBER = r"""(?=[-.,0-9])(?<![^ ])-?[.,]?[0-9][0-9,.\-]*\.(?= [\p{Ll};:,.!?])"""
+TIGHT_END = r"""([.!?]["')\]}]*)(?=[(\[{*@])"""
+TIGHT_JOINED = rf"""({ELLIPSIS}|(?<![\p{{L}}\p{{N}}])\p{{L}}\.)(?=[(\[{{*@])"""
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 # Character references: the standard's names come with Python.
 ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+COMMON = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "reg", "euro", "laquo", "raquo")
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 
 SENTENCE_TYPE = "struct<text:string,start_index:bigint,end_index:bigint>"
 
 _BREAK = "\x01"
 _JOINED = "\x02"
+_TIGHT = "\x03"
 
 
 def _plain(text: Column) -> Column:
@@ -59,7 +63,14 @@ def decoded(text: Column) -> Column:
 
     Named and numeric references that end in ``;`` are decoded; what is none stays.
     """
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    rare = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def named(reference: Column) -> Column:
+        """Looked up in a map, which is searched from its start, only if it is none of the usual ones."""
+        found = F.when(reference == COMMON[0], ENTITIES[COMMON[0]])
+        for name in COMMON[1:]:
+            found = found.when(reference == name, ENTITIES[name])
+        return found.otherwise(rare[reference])
 
     def character(reference: Column) -> Column:
         hexadecimal = F.lower(F.substring(reference, 1, 2)) == "#x"
@@ -67,7 +78,7 @@ def decoded(text: Column) -> Column:
         code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(F.substring(reference, 1, 1) == "#", F.when(valid, number)).otherwise(names[reference])
+        return F.when(F.substring(reference, 1, 1) == "#", F.when(valid, number)).otherwise(named(reference))
 
     def piece(part: Column, i: Column) -> Column:
         reference = F.regexp_extract(part, REFERENCE, 1)
@@ -119,8 +130,29 @@ def sentence_texts(clean: Column) -> Column:
     return F.filter(F.split(marked, _BREAK), lambda piece: piece != "")
 
 
-def sentence_spans(clean: Column) -> Column:
-    """Array of (text, start_index, end_index); code points from 0, end exclusive."""
+def _tight_pieces(clean: Column) -> Column:
+    """Sentences as :func:`sentence_texts` cuts them, cut further where no blank stands.
+
+    Pieces that end without a blank are marked by :data:`_TIGHT` at their end. What
+    rules a break out is marked first, as for breaks at a blank: every terminator
+    is looked at once with what stands right before and after it.
+    """
+    text = F.replace(clean, F.lit(_TIGHT), F.lit(" "))
+    text = F.regexp_replace(text, TIGHT_JOINED, f"$1{_JOINED}")
+    text = F.regexp_replace(text, TIGHT_END, f"$1{_TIGHT}{_BREAK}")
+    text = F.replace(text, F.lit(_JOINED), F.lit(""))
+    return F.filter(
+        F.flatten(F.transform(sentence_texts(text), lambda piece: F.split(piece, _BREAK))), lambda piece: piece != ""
+    )
+
+
+def sentence_spans(clean: Column, tight: bool = False) -> Column:
+    """Array of (text, start_index, end_index); code points from 0, end exclusive.
+
+    With ``tight``, sentences also end where a terminator and its closing marks are
+    directly followed by an opening bracket, ``*`` or ``@``, unless it ends an
+    ellipsis or an initial: ``end.(Next`` is two sentences then.
+    """
 
     def span(text: Column, start: Column) -> Column:
         return F.struct(
@@ -133,7 +165,15 @@ def sentence_spans(clean: Column) -> Column:
         sizes = F.transform(texts, lambda text: (F.length(text) + 1).cast("bigint"))
         return F.zip_with(texts, sums_before(sizes), span)
 
-    spans = let(sentence_texts(clean), placed)
+    def tightly_placed(pieces: Column) -> Column:
+        # A mark takes one place and stands for no blank, so that is two less.
+        sizes = F.transform(
+            pieces, lambda p: (F.length(p) + F.when(F.endswith(p, F.lit(_TIGHT)), -1).otherwise(1)).cast("bigint")
+        )
+        bare = F.transform(pieces, lambda p: F.rtrim(p, F.lit(_TIGHT)))
+        return F.zip_with(bare, sums_before(sizes), span)
+
+    spans = let(_tight_pieces(clean), tightly_placed) if tight else let(sentence_texts(clean), placed)
     return F.coalesce(spans, F.array().cast(f"array<{SENTENCE_TYPE}>"))
 
 

@@ -34,13 +34,14 @@ def drop_empty(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col) != "")
 
 
-def split_sentences(df: DataFrame, key: str | Sequence[str], col: str) -> DataFrame:
+def split_sentences(df: DataFrame, key: str | Sequence[str], col: str, tight: bool = False) -> DataFrame:
     """One row per sentence of already cleaned text, with its position and span.
 
-    Row-local: no shuffle, and no row depends on how often its key occurs.
+    ``tight`` also takes breaks at which no blank stands. Row-local: no shuffle,
+    and no row depends on how often its key occurs.
     """
     return df.select(
-        *_names(key), F.posexplode(T.sentence_spans(F.col(col))).alias("sent_idx", "sentence")
+        *_names(key), F.posexplode(T.sentence_spans(F.col(col), tight)).alias("sent_idx", "sentence")
     ).select(*_names(key), "sent_idx", "sentence.*")
 
 

@@ -221,3 +221,36 @@ def test_unclosed_marks_take_linear_time(spark, mark):
     assert X.clean_html(df, "html").count() == 1
     assert X.clean_html(df, "html").first() is not None
     assert time.time() - began < 60
+
+
+TIGHT = [
+    ("It is the end.(Next one) comes.", ["It is the end.", "(Next one) comes."]),
+    ("Stop![1] Go on. Then?*Star", ["Stop!", "[1] Go on.", "Then?", "*Star"]),
+    ('He said "no."(Quietly.) Yes.', ['He said "no."', "(Quietly.)", "Yes."]),
+    ("Wait...(what) now", ["Wait...(what) now"]),
+    ("By J.(Jim) Smith.@home", ["By J.(Jim) Smith.", "@home"]),
+    ("No 3.(a) and 1.5 or a.b", ["No 3.", "(a) and 1.5 or a.b"]),
+    ("One. Two.Three. (Four)", ["One.", "Two.Three.", "(Four)"]),
+    ("?!(x", ["?!", "(x"]),
+    ("", []),
+]
+
+
+def test_breaks_without_a_blank(spark):
+    rows = [(i, T_[0]) for i, T_ in enumerate(TIGHT)]
+    df = spark.createDataFrame(rows, "id INT, t STRING")
+    got = {}
+    for r in X.split_sentences(df, "id", "t", tight=True).orderBy("id", "sent_idx").collect():
+        got.setdefault(r.id, []).append((r.text, r.start_index, r.end_index))
+    for i, (text, want) in enumerate(TIGHT):
+        assert [s[0] for s in got.get(i, [])] == want
+        assert all(text[a:b] == s for s, a, b in got.get(i, []))
+
+
+def test_tight_breaks_are_linear(spark):
+
+    text = "He went away.(She) stayed... (no) J.[x] and 3. more of it. " * 200_000  # 12 MB
+    df = spark.createDataFrame([(1, text)], "id INT, t STRING")
+    start = time.time()
+    last = X.split_sentences(df, "id", "t", tight=True).orderBy(F.desc("sent_idx")).first()
+    assert last.end_index == len(text.rstrip()) and time.time() - start < 120
