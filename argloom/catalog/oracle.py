@@ -60,7 +60,7 @@ def tight_sentences(name: str, source: str, keys: str, clean: str) -> str:
     over = f"PARTITION BY {keys} ORDER BY k"
     return f"""
 {name}_list AS (SELECT {keys}, string_split(regexp_replace(regexp_replace({clean}, '{END}', '\\1' || chr(1), 'g'),
-    '([.!?]["'')\]}}]*)([(\[{{*@])', '\\1' || chr(3) || chr(1) || '\\2', 'g'), chr(1)) AS p FROM {source}),
+    '([.!?]["'')\\]}}]*)([(\\[{{*@])', '\\1' || chr(3) || chr(1) || '\\2', 'g'), chr(1)) AS p FROM {source}),
 {name}_piece AS (SELECT {keys}, k, ends, rtrim(t, chr(3)) AS t FROM (SELECT *, ends_with(t, chr(3)) AS ends FROM
   (SELECT {keys}, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM {name}_list)) WHERE t <> ''),
 {name}_next AS (SELECT *, lead(t) OVER ({over}) AS nx,
