@@ -121,6 +121,18 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert [s["value"] for s in got[203]] == ["".join(pem(57, 40_000)[1:-1])]
 
 
+def test_the_whole_value_decides_whether_it_is_live(spark):
+    """What varies only late in a long value still varies, and one key held by nearly all is one verdict."""
+    late = "ab" * 400 + "0641917Zea4e9Xfeb9cda"
+    rows = [(0, f"token = {late}", "o1"), (1, "token = " + "ab" * 400, "o2")]
+    rows += [(10 + k, "token = 0641917ea4e9feb9cda83477b57ac2654884f485", f"s{k % 9}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(6)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df, F.col("source"), F.col("source")).collect()}
+    assert [s["verdict"] for s in got[0] if s["kind"] == "assign"] == ["owner"]
+    assert [s["verdict"] for s in got[1] if s["kind"] == "assign"] == ["placeholder"]
+    assert len(got) == 402 and {(s["verdict"], s["owners"]) for k in range(400) for s in got[10 + k] if s["kind"] == "assign"} == {("copied", 9)}
+
+
 def test_secrets_of_awkward_rows(awkward, nothing):
     rows = secrets.digest(secrets.scan(awkward, F.col("source"), F.col("lang"))).collect()
     assert sorted((r["doc_id"] or -1, r["base_sha256"]) for r in rows) == sorted((i or -1, digest(base_secrets(t or ""))) for i, t, _, _ in ROWS)
