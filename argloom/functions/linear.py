@@ -60,12 +60,16 @@ class TableFile:
     weights: str
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=4096)
+def _mapped(place: str) -> np.ndarray:
+    return np.asarray(np.memmap(place, dtype=np.int64, mode="r"))
+
+
 def _array(path: str) -> np.ndarray:
-    """An array in the shared folder: mapped where the folder is mounted, else read."""
+    """An array in the shared folder: mapped where the folder is mounted, else read and let go again."""
     system, place = FileSystem.from_uri(path)
     if isinstance(system, LocalFileSystem):
-        return np.memmap(place, dtype=np.int64, mode="r")
+        return _mapped(place)
     with system.open_input_stream(place) as file:
         return np.frombuffer(file.read(), dtype=np.int64)
 
