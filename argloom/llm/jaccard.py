@@ -8,8 +8,9 @@ the bound is verified on the sets.
 
 A tree holds the nodes of one cell: those that share one of their rarest
 shingles. Two sets that link must share one among the rarest quarter of each, so
-no link is lost by looking inside cells only. What is rare comes from a table of
-counters of fixed size.
+no link is lost by looking inside cells only. How many documents hold a shingle is
+counted over all of them, in files of sorted hashes that tasks map; a shingle that
+only one document holds is the rarest, and makes no cell.
 
 A cell of a thousand near copies has half a million links, and one component. So
 links are found in three steps, each of which skips pairs that are connected
@@ -21,18 +22,23 @@ them are mostly the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, functions as F
 
+from argloom.functions.linear import SharedTable, TableFile
 from argloom.llm.components import components
+from argloom.llm.lmtrie import _from_planes, _merged, _planes
 from argloom.llm.words import BLOCK, buffers, mix, row_groups, windows, words
-from argloom.session import materialize
+from argloom.session import materialize, scratch_path
 
 SHINGLE = 5
-COUNTER_BITS = 18  # the table of counters has 2**18 entries
+SHARED_BITS = 48  # of a hash, by which documents that hold a shingle are counted
+HELD = 1 << 22  # shingles that a task holds before it hands them on
 SHINGLES_PER_RANGE = 1 << 22
 CELL_CHUNK = 4096  # members of a cell that are compared at once; larger cells are split
 CHUNK_SHINGLES = 1 << 22  # and all shingles of one chunk
@@ -263,14 +269,79 @@ def fixed_table(df: DataFrame, slots_of: Callable[[pa.RecordBatch], Iterator[np.
     return table
 
 
-def shingle_counters(texts: DataFrame) -> np.ndarray:
-    """How many distinct shingles of documents fall on each counter, over all texts."""
+def _short(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
 
-    def slots(batch):
-        for shingles in _sets(batch.column(0)):
-            yield (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    return fixed_table(texts.select("text"), slots, 1 << COUNTER_BITS)
+def shared_shingles(texts: DataFrame, ranges: int) -> SharedTable:
+    """How many sets hold each shingle, of those that several hold.
+
+    Shingles are known by the first :data:`SHARED_BITS` bits of their hashes. Two
+    that agree in them count as one, which costs time and never a link. They
+    travel as differences of sorted numbers, one array for each range and task;
+    equal sets within a task count once. Each range of hashes is a file.
+    """
+    root = scratch_path(texts.sparkSession, "shingles")
+    width = SHARED_BITS - max(1, (ranges - 1).bit_length())
+
+    def emit(batches):
+        held, size = [], 0
+        seen: set[int] = set()
+
+        def out():
+            keys = np.sort(_short(np.concatenate(held))).astype(np.uint64)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, counts = keys[first], np.diff(np.append(first, len(keys))).astype("<u4")
+            at = keys >> np.uint64(width)
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            ends = np.append(starts[1:], len(at))
+            columns = [
+                pa.array(at[starts].astype(np.int32)),
+                pa.array([_planes(keys[a:z]) for a, z in zip(starts, ends)], pa.binary()),
+                pa.array([counts[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "counts"])
+
+        for batch in batches:
+            for shingles in _sets(batch.column(0)):
+                if not len(shingles) or (node := node_of(shingles)) in seen:
+                    continue
+                seen.add(node)
+                held.append(shingles)
+                size += len(shingles)
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
+                    seen.clear()
+        if size:
+            yield out()
+
+    def merge(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for k, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = (_from_planes(keys.as_buffer()), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64))
+                parts.setdefault(k, []).append(own)
+        system, place = FileSystem.from_uri(root)
+        system.create_dir(place, recursive=True)
+        rows = []
+        for k in sorted(parts):
+            keys, counts = _merged(parts.pop(k))
+            keys, counts = keys[counts > 1].astype(np.int64), counts[counts > 1]
+            if not len(keys):
+                continue
+            name = f"{k}-{uuid.uuid4().hex}"  # a repeated task writes files of its own
+            for kind, values in (("hashes", keys), ("weights", counts)):
+                with system.open_output_stream(f"{place}/{name}.{kind}") as file:
+                    file.write(values.tobytes())
+            rows.append((int(keys[0]), int(keys[-1]), name))
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(("first", "last", "name"), map(list, zip(*rows)))))
+
+    packed = texts.select("text").mapInArrow(emit, "range int, keys binary, counts binary")
+    found = packed.repartition(ranges, "range").mapInArrow(merge, "first bigint, last bigint, name string").collect()
+    files = [TableFile(r["first"], r["last"], f"{root}/{r['name']}.hashes", f"{root}/{r['name']}.weights") for r in sorted(found)]
+    return SharedTable(tuple(files))  # one row a range
 
 
 def wanted_slots(nodes: DataFrame) -> np.ndarray:
@@ -282,25 +353,42 @@ def wanted_slots(nodes: DataFrame) -> np.ndarray:
     return fixed_table(nodes.select("node"), slots, 1 << SLOT_BITS) > 0
 
 
-def rarest(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
-    """The shingles of which a set must share one with whatever it links to: the rarest quarter and one."""
+def rarest(shingles: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of the shingles of which a set must share one with whatever it links to: the rarest quarter and one.
+
+    ``seen`` tells how many sets hold each; equal numbers go in order of the hashes.
+    """
     keep = len(shingles) - -(-3 * len(shingles) // 4) + 1
-    seen = counters[(shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-    return shingles[np.argsort(seen, kind="stable")[:keep]]
+    return np.argsort(seen, kind="stable")[:keep]
 
 
-def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame:
+def find_cells(texts: DataFrame, shared: SharedTable, ranges: int) -> DataFrame:
     """``cell, node``: groups of two or more nodes that share one of their rarest shingles.
 
-    Cells with the same nodes are one cell. Shingles travel as packed arrays,
-    one for each range of hashes and task.
+    Cells with the same nodes are one cell. Shingles that no other document holds
+    do not travel; the others go as packed arrays, one for each range of hashes
+    and task.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def emit(batches):
-        counters = shared.value
         keys, nodes, size = [], [], 0
         seen: set[int] = set()
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def look_up():
+            """Of the sets that wait, those of the rarest shingles that others hold too."""
+            counts = shared.find(_short(np.concatenate([own for _, own in waiting])))
+            at = 0
+            for node, own in waiting:
+                held = counts[at : at + len(own)]
+                at += len(own)
+                places = rarest(own, held)
+                places = places[held[places] > 1]
+                if len(places):
+                    keys.append(own[places])
+                    nodes.append(np.full(len(places), node, dtype=np.int64))
+            waiting.clear()
+            return sum(map(len, keys))
 
         def out():
             k, n = np.concatenate(keys), np.concatenate(nodes)
@@ -329,15 +417,18 @@ def find_cells(texts: DataFrame, counters: np.ndarray, ranges: int) -> DataFrame
                 if node in seen:
                     continue
                 seen.add(node)
-                own = rarest(shingles, counters)
-                keys.append(own)
-                nodes.append(np.full(len(own), node, dtype=np.int64))
-                size += len(own)
-                if size > 1 << 20:
+                waiting.append((node, shingles))
+                size += len(shingles)
+                if size < HELD // 4:
+                    continue
+                size = 0
+                if look_up() > 1 << 20:
                     yield out()
-                    keys, nodes, size = [], [], 0
+                    keys, nodes = [], []
                     seen.clear()
-        if size:
+        if waiting:
+            look_up()
+        if keys:
             yield out()
 
     def meet(batches):
@@ -521,7 +612,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = materialize(describe(texts), "described")
     size = docs.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     ranges = max(8, -(-size // SHINGLES_PER_RANGE))
-    cells = materialize(find_cells(named, shingle_counters(named), ranges), "cells")
+    cells = materialize(find_cells(named, shared_shingles(named, ranges), ranges), "cells")
     known = docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = materialize(
         known.join(cells.select("node").distinct(), "node", "left_semi")

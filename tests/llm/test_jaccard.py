@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from argloom.llm import jaccard as J
@@ -108,12 +109,31 @@ def test_bound_never_loses_a_pair(seed, n):
 
 
 def test_rarest_shingles_of_linked_sets_meet():
-    counters = np.random.default_rng(0).integers(0, 50, 1 << J.COUNTER_BITS)
+    counters = np.random.default_rng(0).integers(0, 50, 1 << 18)
     sets = [s for t in variants(4, 40) for s in J.doc_sets(*buffers(pa.array([t])))]
     for i, a in enumerate(sets):
         for b in sets[:i]:
             if J.linked(a, b):
-                assert set(J.rarest(a, counters).tolist()) & set(J.rarest(b, counters).tolist())
+                first, second = (s[J.rarest(s, counters[(s >> np.uint64(46)).astype(np.int64)])] for s in (a, b))
+                assert set(first.tolist()) & set(second.tolist())
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_shared_shingles_are_counted_over_all_sets(spark, documents, ranges):
+    from collections import Counter
+
+    table = J.shared_shingles(documents.repartition(3), ranges)
+    sets = {}
+    for r in documents.select("text").collect():
+        for own in J.doc_sets(*buffers(pa.array([r["text"]], pa.string()))):
+            sets[own.tobytes()] = own
+    want = Counter(int(k) for own in sets.values() for k in J._short(own))
+    keys = np.array(sorted(want), dtype=np.int64)
+    found = table.find(keys)
+    # Equal sets of different tasks count apart, so counts may be higher, never lower.
+    assert all(n >= want[k] for k, n in zip(keys.tolist(), found.tolist()) if want[k] > 1)
+    assert any(want[k] > 1 for k in want) and not table.find(keys ^ 1)[~np.isin(keys ^ 1, keys)].any()
+    assert J.shared_shingles(documents.limit(0), ranges).files == ()
 
 
 def test_components_of_chains_and_stars(spark):
