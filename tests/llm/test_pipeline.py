@@ -89,4 +89,4 @@ def test_pipeline_of_an_empty_table(spark, nothing):
 def test_registered(spark):
     names = entry.queries()
     assert names["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
