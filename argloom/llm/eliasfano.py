@@ -5,6 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+CHUNK = 1 << 15  # values that are searched together, so that the arrays between stay in the processor's cache
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+# Place of the n-th set bit of every byte, at n * 256 + byte.
+_IN_BYTE = np.zeros(2048, dtype=np.uint64)
+for _byte in range(256):
+    for _n, _place in enumerate(i for i in range(8) if _byte >> i & 1):
+        _IN_BYTE[_n * 256 + _byte] = _place
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -28,16 +35,16 @@ def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _nth_set(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Place of the n-th set bit (from 0) of each word."""
-    place, n = np.zeros(len(word), dtype=np.int64), n.copy()
-    for half in (32, 16, 8, 4, 2, 1):
-        low = word & _U((1 << half) - 1)
-        ones = np.bitwise_count(low).astype(np.int64)
-        up = n >= ones
-        n -= np.where(up, ones, 0)
-        place += np.where(up, half, 0)
-        word = np.where(up, word >> _U(half), low)
-    return place
+    """Place of the n-th set bit (from 0) of each word: running sums of its bytes, then a table of bytes."""
+    ones = word - ((word >> _U(1)) & _U(0x5555555555555555))
+    ones = (ones & _U(0x3333333333333333)) + ((ones >> _U(2)) & _U(0x3333333333333333))
+    ones = ((ones + (ones >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH
+    n = n.astype(np.uint64)
+    # The upper bit of each byte says that the set bits up to that byte are not more than n.
+    passed = ((n * _EACH | _TOPS) - ones) & _TOPS
+    place = np.minimum(np.bitwise_count(passed), 7).astype(np.uint64) << _U(3)
+    rank = n - ((ones << _U(8)) >> place & _U(255))
+    return (place + _IN_BYTE[(rank << _U(8) | (word >> place & _U(255))) & _U(2047)]).astype(np.int64)
 
 
 class EliasFano:
@@ -89,22 +96,45 @@ class EliasFano:
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first element not below each value, and whether it equals the value."""
         values = values.astype(np.uint64)
+        place, equal = np.empty(len(values), dtype=np.int64), np.empty(len(values), dtype=bool)
+        for at in range(0, len(values), CHUNK):
+            place[at : at + CHUNK], equal[at : at + CHUNK] = self._successor(values[at : at + CHUNK])
+        return place, equal
+
+    def _successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         high = (values >> _U(self.width)).astype(np.int64)
-        first = self._below(high)
-        last = self._equal_high(high, first)
-        end = last.copy()
+        place = self._below(high)
+        end = self._equal_high(high, place)
         low = values & _U((1 << self.width) - 1)
-        todo = np.flatnonzero(first < last)
-        while len(todo):
-            middle = (first[todo] + last[todo]) // 2
-            less = self._low(middle) < low[todo]
-            first[todo[less]] = middle[less] + 1
-            last[todo[~less]] = middle[~less]
-            todo = todo[first[todo] < last[todo]]
-        equal = first < end
-        at = np.flatnonzero(equal)
-        equal[at] = self._low(first[at]) == low[at]
-        return first, equal
+        equal = np.zeros(len(values), dtype=bool)
+        # Most runs of one high part are short: their first element decides.
+        some = np.flatnonzero(place < end)
+        head = self._low(place[some])
+        equal[some] = head == low[some]
+        below = head < low[some]
+        further, head = some[below], head[below]
+        place[further] += 1
+        more = place[further] < end[further]
+        row, under = further[more], head[more].astype(np.float64)
+        # Within a long run the elements lie about evenly, so a value tells where to look.
+        begin, last, target = place[row], end[row], low[row]
+        over = np.full(len(row), float(1 << self.width))
+        turn = 0
+        while len(row):
+            turn += 1
+            size = last - begin
+            part = 0.5 if turn > 4 else (target - under) / (over - under)
+            middle = begin + np.clip((part * size).astype(np.int64), 0, size - 1)
+            value = self._low(middle)
+            hit, less = value == target, value < target
+            begin, last = np.where(less, middle + 1, begin), np.where(less, last, middle)
+            under, over = np.where(less, value, under), np.where(less, over, value)
+            done = hit | (begin >= last)
+            place[row[done]] = np.where(hit, middle, begin)[done]
+            equal[row[hit]] = True
+            go = ~done
+            row, begin, last, target, under, over = row[go], begin[go], last[go], target[go], under[go], over[go]
+        return place, equal
 
     def decode(self) -> np.ndarray:
         """All elements in order."""
