@@ -32,7 +32,7 @@ from argloom.llm.eliasfano import EliasFano
 from argloom.llm.words import buffers, distinct, mix, row_groups, sums, words
 from argloom.session import scratch_path
 
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 HELD = 1 << 21  # distinct n-grams that a task holds before it hands them on
 SHARD = 1 << 22  # about so many n-grams, as tasks hand them on, make one shard
 END = int(mix(np.array([0x656E64], dtype=np.uint64))[0])  # the end of a text, a token like any other
@@ -66,7 +66,7 @@ def _read(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory where the shared folder allows."""
     store, place = _store(path)
     if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(place, dtype=np.uint8, mode="r")
+        raw = np.asarray(np.memmap(place, dtype=np.uint8, mode="r"))
     else:
         with store.open_input_file(place) as file:
             raw = np.frombuffer(file.read(), dtype=np.uint8)
@@ -384,16 +384,21 @@ def _write_probs(spark, trie: Trie) -> int:
             return [(0,)]
         context = (keys // _U(level.universe)).astype(np.int64)
         relative = (keys % _U(level.universe)).astype(np.int64)
-        own, at = np.unique(context, return_inverse=True)
-        # A context may go on in the next shard: pointers are numbers of nodes over all shards.
-        begin = level.first_of(own)
-        types = level.first_of(own + 1) - begin
+        # Successors of a context stand together, so its pointer and its number of them show in the shard itself.
+        fresh = np.append(True, context[1:] != context[:-1])
+        begins = np.flatnonzero(fresh)
+        own, at = context[begins], np.cumsum(fresh) - 1
+        types = np.diff(np.append(begins, len(keys)))
+        # Only the first and the last one may go on in other shards: pointers are numbers of nodes over all shards.
+        ends = np.unique([0, len(own) - 1])
+        types[ends] = level.first_of(own[ends] + 1) - level.first_of(own[ends])
         total = trie.levels[-2].counts(own)
         shorter = relative
         if order == 3:  # the last word of the context leads to the shorter n-gram
             middle = trie.levels[1]
             last = middle.of_nodes(own, lambda s, places: _keys_at(middle, s, places) % _U(middle.universe), np.uint64)
-            shorter = middle.first_of(last)[at] + relative
+            words, _, inverse = distinct(last)
+            shorter = middle.first_of(words)[inverse][at] + relative
         lower = 10.0 ** trie.levels[order - 2].log_probs(shorter)
         p = (counts + types[at] * lower) / (total + types)[at]
         _write(level.paths[k] + ".prob", {"code": quantise(np.log10(p))})
