@@ -36,7 +36,6 @@ BLOCK = 1 << 22
 HELD = 1 << 21  # distinct n-grams that a task holds before it hands them on
 SHARD = 1 << 22  # about so many n-grams, as tasks hand them on, make one shard
 END = int(mix(np.array([0x656E64], dtype=np.uint64))[0])  # the end of a text, a token like any other
-FLOOR = -12.0  # log10 of the smallest probability that a byte can hold
 _U = np.uint64
 
 
@@ -82,13 +81,13 @@ def _read(path: str) -> dict[str, np.ndarray]:
 # ---- the trie -------------------------------------------------------------------------------
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    """One byte for a log10 probability between ``FLOOR`` and 0."""
-    return np.rint(np.clip(log10 / FLOOR, 0, 1) * 255).astype(np.uint8)
+def quantise(log10: np.ndarray, floor: float) -> np.ndarray:
+    """One byte for a log10 probability between ``floor`` and 0."""
+    return np.rint(np.clip(log10 / floor, 0, 1) * 255).astype(np.uint8)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return code * (FLOOR / 255)
+def restore(code: np.ndarray, floor: float) -> np.ndarray:
+    return code * (floor / 255)
 
 
 @dataclass
@@ -156,8 +155,11 @@ class Level:
 
         return self.of_nodes(nodes, get, np.int64)
 
-    def log_probs(self, nodes: np.ndarray) -> np.ndarray:
-        return self.of_nodes(nodes, lambda k, at: restore(_read(self.paths[k] + ".prob")["code"][at].astype(np.float64)), np.float64)
+    def log_probs(self, nodes: np.ndarray, floor: float) -> np.ndarray:
+        def get(k, at):
+            return restore(_read(self.paths[k] + ".prob")["code"][at].astype(np.float64), floor)
+
+        return self.of_nodes(nodes, get, np.float64)
 
 
 @dataclass
@@ -168,6 +170,16 @@ class Trie:
     def vocabulary(self) -> Level:
         return self.levels[0]
 
+    @property
+    def floor(self) -> float:
+        """log10 of the least probability an n-gram of any level can have.
+
+        It occurs at least once, and its context occurs at most as often as there
+        are tokens, before at most as many words as there are. So no probability
+        is cut off, however large the corpus.
+        """
+        return -math.log10(max(2, self.vocabulary.total + self.vocabulary.n))
+
     def _unknown(self) -> float:
         """log10 probability of the one word that stands for all unknown ones."""
         n, v = self.vocabulary.total, self.vocabulary.n
@@ -210,13 +222,13 @@ class Trie:
         counts = np.zeros(len(hashes), dtype=np.int64)
         known = np.flatnonzero(nodes[0] >= 0)
         counts[known] = self.vocabulary.counts(nodes[0][known])
-        log10 = np.zeros(len(hashes))
+        log10, floor = np.zeros(len(hashes)), self.floor
         left = np.flatnonzero(~start)
         # From the longest n-grams down: only tokens that are not found go on, with their context's weight.
         for k in range(len(self.levels) - 1, -1, -1):
             level, node = self.levels[k], nodes[k][left]
             hit = left[node >= 0]
-            log10[hit] += level.log_probs(nodes[k][hit])
+            log10[hit] += level.log_probs(nodes[k][hit], floor)
             left = left[node < 0]
             if not k:
                 log10[left] += self._unknown()
@@ -371,7 +383,7 @@ def _on_shards(spark, level: Level, work: Callable[[int], list[tuple]], schema:
 
 def _write_probs(spark, trie: Trie) -> int:
     """Give every node of the last level its probability; returns the most successors of a context."""
-    level = trie.levels[-1]
+    level, floor = trie.levels[-1], trie.floor
     order = len(trie.levels)
 
     def work(k: int) -> list[tuple]:
@@ -380,7 +392,7 @@ def _write_probs(spark, trie: Trie) -> int:
         counts = level.counts(nodes)
         if order == 1:
             n, v = level.total, level.n
-            _write(level.paths[k] + ".prob", {"code": quantise(np.log10(counts / (n + v)))})
+            _write(level.paths[k] + ".prob", {"code": quantise(np.log10(counts / (n + v)), floor)})
             return [(0,)]
         context = (keys // _U(level.universe)).astype(np.int64)
         relative = (keys % _U(level.universe)).astype(np.int64)
@@ -399,9 +411,9 @@ def _write_probs(spark, trie: Trie) -> int:
             last = middle.of_nodes(own, lambda s, places: _keys_at(middle, s, places) % _U(middle.universe), np.uint64)
             words, _, inverse = distinct(last)
             shorter = middle.first_of(words)[inverse][at] + relative
-        lower = 10.0 ** trie.levels[order - 2].log_probs(shorter)
+        lower = 10.0 ** trie.levels[order - 2].log_probs(shorter, floor)
         p = (counts + types[at] * lower) / (total + types)[at]
-        _write(level.paths[k] + ".prob", {"code": quantise(np.log10(p))})
+        _write(level.paths[k] + ".prob", {"code": quantise(np.log10(p), floor)})
         return [(int(types.max()),)]
 
     return max((r["types"] for r in _on_shards(spark, level, work, "types bigint")), default=0)

@@ -224,10 +224,27 @@ def test_trie_equals_brute_force(documents, texts, monkeypatch, order, shard):
         assert row["n_known"] == sum((w,) in seen for w in own)
         base = sum(math.log10((seen.get((w,), 0) + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         assert row["base_score"] == pytest.approx(base, rel=1e-9)
-        # One byte a probability: at most half a step of 12 / 255 away, for every token.
+        # One byte a probability, in steps well below 12 / 255: at most half of that away, for every token.
         assert row["score"] == pytest.approx(brute.score(own), abs=0.0236 * len(own) + 1e-6)
 
 
+def test_no_probability_is_cut_off():
+    vocabulary = lmtrie.Level([], np.zeros(0, np.uint64), np.array([0, 10**12]), 1 << 64, 10**15)
+    floor = lmtrie.Trie([vocabulary]).floor
+    assert floor < -15
+    exact = np.array([floor, -14.2, -12.5, -3.0, 0.0])
+    assert lmtrie.restore(lmtrie.quantise(exact, floor), floor) == pytest.approx(exact, abs=-floor / 510 + 1e-9)
+
+
+def test_the_rarest_ngrams_reach_the_floor_and_no_further(spark):
+    texts = ["a b a c a b", "b a b c", "a a b", "once"]
+    trie = lmtrie.build(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    brute = BruteTrie([tokens(t) for t in texts], 3)
+    least = min(brute.p(gram) for k in (1, 2, 3) for gram in brute.counts[k])
+    assert trie.floor <= math.log10(least)
+    assert trie.floor == pytest.approx(math.log10(brute.p(("once",))))
+
+
 def test_trie_of_awkward_rows(spark, awkward, nothing):
     for order in (1, 3):
         rows = lmtrie.language_model_scores(awkward, order=order).collect()
