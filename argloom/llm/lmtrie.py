@@ -357,7 +357,8 @@ def _count(texts: DataFrame, keys_of: Callable, firsts: np.ndarray, path: str) -
         yield pa.RecordBatch.from_arrays(columns, names=["shard", "n", "total"])
 
     packed = texts.select("text").mapInArrow(emit, "shard int, keys binary, counts binary")
-    built = packed.repartition(len(firsts), "shard").mapInArrow(build, "shard bigint, n bigint, total bigint")
+    # By number, not by hash: no task gets two shards.
+    built = packed.repartitionById(len(firsts), F.col("shard")).mapInArrow(build, "shard bigint, n bigint, total bigint")
     return sorted((r["shard"], r["n"], r["total"]) for r in built.collect())  # one row a shard
 
 
@@ -377,7 +378,7 @@ def _on_shards(spark, level: Level, work: Callable[[int], list[tuple]], schema:
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    shards = spark.range(len(level.paths)).repartition(max(1, len(level.paths)), "id")
+    shards = spark.range(len(level.paths)).repartitionById(max(1, len(level.paths)), F.col("id").cast("int"))
     return shards.mapInArrow(run, schema).collect()
 
 
