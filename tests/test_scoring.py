@@ -85,6 +85,16 @@ def test_join_scorer(spark, sentences, weights, frequent):
     assert all(known[(r.doc_id, r.sent_idx)] == r.n_known for r in rows)
 
 
+def test_long_tail_is_never_broadcast(spark, sentences, weights, folder):
+    """A small file of weights becomes a large table once it is repeated for every salt."""
+    weights.write.parquet(f"{folder}/weights")
+    kept = spark.read.parquet(f"{folder}/weights")
+    words = X.tokenize(sentences, "text")
+    plan = C.score_linear(words, ["doc_id", "sent_idx"], kept, frequent=5)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and not any("salt" in line for line in joins)
+
+
 def test_empty_weight_table(spark, sentences, weights):
     model = C.LinearModel(weights.limit(0))
     got = C.detect_sentences(sentences, model)
