@@ -37,3 +37,13 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
+
+
+def test_reports_are_summed_up_by_folder(spark):
+    from argloom.catalog.queries import _by_folder
+
+    rows = [("a", 3, 3, "done"), ("a", 4, 4, "done"), ("b", 2, 2, "done"), ("b", 5, 1, "failed"), ("c", None, 0, "failed")]
+    files = [(f"file:/x/lang={f}/part-{n}", None, e, r, s) for n, (f, e, r, s) in enumerate(rows)]
+    report = spark.createDataFrame(files, "source_file STRING, path STRING, expected BIGINT, read BIGINT, status STRING")
+    found = {tuple(r) for r in _by_folder(report, "file:/x").collect()}
+    assert found == {("lang=a", 7, 7, "done"), ("lang=b", 7, 3, "failed"), ("lang=c", None, 0, "failed")}
