@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from argloom.functions import probability as P, text as T
+from argloom.functions import linear as N, probability as P, text as T
 from argloom.operators import scoring as C, text as X, training as M
 
 
@@ -256,3 +257,30 @@ def test_classifier_learns_and_persists(spark, folder):
     assert a == b
     load_or_train(f"{folder}/m", fit, force=True)
     assert calls == [1, 1]
+
+
+def test_words_are_looked_up_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(N, "MOST", 50)
+
+    class Table:
+        def __init__(self):
+            self.asked = []
+
+        def find(self, own):
+            self.asked.append(len(own))
+            return own % 1000
+
+    rng = random.Random(11)
+    lists = [[f"w{rng.randrange(10**6)}" for _ in range(size)] for size in [0, 3, 40, 20, 0, 130, 1, 49, 50, 0]]
+    first, second = Table(), Table()
+    found = N._pair(pa.array([["left", "out"], *lists], pa.list_(pa.string())).slice(1), (first, 3), (second, -2)).to_pylist()
+    for words, r in zip(lists, found, strict=True):
+        total = int((N.word_hashes(words) % 1000).sum()) if words else 0
+        assert r["first"] == total + 3 and r["second"] == total - 2
+    assert sorted(first.asked)[-1] == 130 and sorted(first.asked)[-2] <= 50  # one list of 130 words is one part
+    assert N._pair(pa.array([], pa.list_(pa.string())), (first, 0), (second, 0)).to_pylist() == []
+
+
+def test_large_tables_are_not_copied_to_every_worker(spark):
+    table = spark.range(2_000_000).select(F.col("id").cast("string").alias("token"), F.col("id").alias("weight"))
+    assert C.LinearModel(table).n_shards > 1
