@@ -254,3 +254,21 @@ def test_tight_breaks_are_linear(spark):
     start = time.time()
     last = X.split_sentences(df, "id", "t", tight=True).orderBy(F.desc("sent_idx")).first()
     assert last.end_index == len(text.rstrip()) and time.time() - start < 120
+
+
+def test_blanks_that_end_no_sentence(spark):
+    """The pattern starts at full stops and numbers, and marks the blanks that the plain rules name, no others."""
+
+
+    initial = r"""\p{L}\.(?<![\p{L}\p{N}]\p{L}\.)(?= [\p{L};:,.!?])"""
+    plain = f"({T.ELLIPSIS}|{initial}|{T.NUMBER}) "
+    rng = random.Random(4)
+    marks = [".", ".", " ", " ", "a", "B", "é", "𝒜", "1", "2", ",", "-", ")", '"', "]", "!", "?", ";", "日", "٣"]
+    rows = [(i, "".join(rng.choices(marks, k=rng.randrange(60)))) for i in range(4000)]
+    rows += [(-1, "Mr. J. Doe paid 3. in No. -1,5. of 2. x ... and .. (a.) b. (A. b."), (-2, "." * 500 + " a. b"), (-3, None)]
+    df = spark.createDataFrame(rows, "id INT, t STRING")
+    got = df.select("id", F.regexp_replace("t", T.JOINED, "$1_").alias("got"), F.regexp_replace("t", plain, "$1_").alias("want"))
+    found = got.collect()
+    assert [r.id for r in found if r.got != r.want] == []
+    assert sum("_" in (r.got or "") for r in found) > 200
+    assert found[-3].got == "Mr. J._Doe paid 3._in No. -1,5._of 2._x ..._and .._(a.) b. (A._b."
