@@ -38,8 +38,8 @@ from argloom.session import materialize, scratch_path
 
 SHINGLE = 5
 SHARED_BITS = 48  # of a hash, by which documents that hold a shingle are counted
-HELD = 1 << 22  # shingles that a task holds before it hands them on
-SHINGLES_PER_RANGE = 1 << 22
+HELD = 1 << 21  # shingles that a task holds before it hands them on
+SHINGLES_PER_RANGE = 1 << 21
 CELL_CHUNK = 4096  # members of a cell that are compared at once; larger cells are split
 CHUNK_SHINGLES = 1 << 22  # and all shingles of one chunk
 SLOT_BITS = 22
@@ -273,6 +273,30 @@ def _short(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
 
 
+def _counted(held: list[np.ndarray], width: int) -> pa.RecordBatch:
+    """How many of the sets hold each shingle, one row for each range of hashes; empties the list.
+
+    Works in place where it can: a worker has room for a few arrays of this length, not for many.
+    """
+    keys = np.concatenate(held)
+    held.clear()
+    keys >>= np.uint64(64 - SHARED_BITS)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    counts = np.diff(np.append(first, len(keys))).astype("<u4")
+    keys = keys[first]
+    del first
+    at = (keys >> np.uint64(width)).astype(np.int32)
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    ends = np.append(starts[1:], len(at))
+    columns = [
+        pa.array(at[starts]),
+        pa.array((_planes(keys[a:z]) for a, z in zip(starts, ends)), pa.binary(), size=len(starts)),
+        pa.array((counts[a:z].tobytes() for a, z in zip(starts, ends)), pa.binary(), size=len(starts)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "counts"])
+
+
 def shared_shingles(texts: DataFrame, ranges: int) -> SharedTable:
     """How many sets hold each shingle, of those that several hold.
 
@@ -282,26 +306,13 @@ def shared_shingles(texts: DataFrame, ranges: int) -> SharedTable:
     equal sets within a task count once. Each range of hashes is a file.
     """
     root = scratch_path(texts.sparkSession, "shingles")
-    width = SHARED_BITS - max(1, (ranges - 1).bit_length())
+    bits = max(1, (ranges - 1).bit_length())
+    width = SHARED_BITS - bits
 
     def emit(batches):
         held, size = [], 0
         seen: set[int] = set()
 
-        def out():
-            keys = np.sort(_short(np.concatenate(held))).astype(np.uint64)
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys, counts = keys[first], np.diff(np.append(first, len(keys))).astype("<u4")
-            at = keys >> np.uint64(width)
-            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            ends = np.append(starts[1:], len(at))
-            columns = [
-                pa.array(at[starts].astype(np.int32)),
-                pa.array([_planes(keys[a:z]) for a, z in zip(starts, ends)], pa.binary()),
-                pa.array([counts[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "counts"])
-
         for batch in batches:
             for shingles in _sets(batch.column(0)):
                 if not len(shingles) or (node := node_of(shingles)) in seen:
@@ -310,18 +321,22 @@ def shared_shingles(texts: DataFrame, ranges: int) -> SharedTable:
                 held.append(shingles)
                 size += len(shingles)
                 if size >= HELD:
-                    yield out()
-                    held, size = [], 0
+                    yield _counted(held, width)
                     seen.clear()
+                    size = 0
         if size:
-            yield out()
+            yield _counted(held, width)
 
     def merge(batches):
-        parts: dict[int, list] = {}
+        parts: dict[int, list] = {}  # of the one range that the task gets
+        waiting = 0
         for batch in batches:
             for k, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 own = (_from_planes(keys.as_buffer()), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64))
                 parts.setdefault(k, []).append(own)
+                waiting += len(own[0])
+                if waiting >= HELD // 4:
+                    parts[k], waiting = [_merged(parts[k])], 0
         system, place = FileSystem.from_uri(root)
         system.create_dir(place, recursive=True)
         rows = []
@@ -339,7 +354,9 @@ def shared_shingles(texts: DataFrame, ranges: int) -> SharedTable:
             yield pa.RecordBatch.from_pydict(dict(zip(("first", "last", "name"), map(list, zip(*rows)))))
 
     packed = texts.select("text").mapInArrow(emit, "range int, keys binary, counts binary")
-    found = packed.repartition(ranges, "range").mapInArrow(merge, "first bigint, last bigint, name string").collect()
+    # By number, not by hash: no task holds two ranges.
+    ranged = packed.repartitionById(1 << bits, F.col("range"))
+    found = ranged.mapInArrow(merge, "first bigint, last bigint, name string").collect()
     files = [TableFile(r["first"], r["last"], f"{root}/{r['name']}.hashes", f"{root}/{r['name']}.weights") for r in sorted(found)]
     return SharedTable(tuple(files))  # one row a range
 
@@ -457,7 +474,7 @@ def find_cells(texts: DataFrame, shared: SharedTable, ranges: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(cells[part]), pa.array(n[rows[part]])], names=["cell", "node"])
 
     packed = texts.select("text").mapInArrow(emit, "range int, keys binary, nodes binary, places binary")
-    met = packed.repartition(ranges, "range").mapInArrow(meet, "cell bigint, node bigint")
+    met = packed.repartitionById(ranges, F.col("range")).mapInArrow(meet, "cell bigint, node bigint")
     return met.distinct()
 
 

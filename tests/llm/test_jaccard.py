@@ -1,6 +1,7 @@
 """The Jaccard join against comparing every pair."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -145,3 +146,33 @@ def test_components_of_chains_and_stars(spark):
         assert len({got[k] for k in group}) == 1
     assert len(set(got.values())) == 3
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_counting_shingles_holds_a_few_arrays_only():
+    """A worker stays small: packing what it holds takes at most five times the room of the hashes themselves."""
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) for _ in range(500)]
+    held, size = list(sets), 8 * 500_000
+    tracemalloc.start()
+    batch = J._counted(held, J.SHARED_BITS - 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and peak < 5 * size
+    assert batch.column(0).to_pylist() == list(range(8))
+    assert sum(len(c.as_buffer()) for c in batch.column(2)) == 4 * 500_000
+
+
+def test_counts_of_shingles_over_many_parts(spark, monkeypatch):
+    """Parts of a range that come in many rows are merged, and no task holds two ranges."""
+    monkeypatch.setattr(J, "HELD", 256)
+    texts = sorted(set(variants(7, 60, 80, 5)))  # copies may count once a task
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    wanted = {}
+    for own in J._sets(pa.array(texts)):
+        for key in J._short(own).tolist():
+            wanted[key] = wanted.get(key, 0) + 1
+    table = J.shared_shingles(df, 11)
+    keys = np.array(sorted(wanted), dtype=np.int64)
+    counts = np.array([wanted[k] for k in keys.tolist()])
+    assert np.array_equal(table.find(keys), np.where(counts > 1, counts, 0))
+    assert len({f.first >> (J.SHARED_BITS - 4) for f in table.files}) == len(table.files)
