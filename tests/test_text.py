@@ -272,3 +272,17 @@ def test_blanks_that_end_no_sentence(spark):
     assert [r.id for r in found if r.got != r.want] == []
     assert sum("_" in (r.got or "") for r in found) > 200
     assert found[-3].got == "Mr. J._Doe paid 3._in No. -1,5._of 2._x ..._and .._(a.) b. (A._b."
+
+
+def test_pairs_of_word_lists_are_cut_like_pairs_of_texts(spark):
+    """Sentences can be cut into words once, before they are paired."""
+    df = spark.createDataFrame([("One two, three four!", "five six"), ("", None), ("...x", " y z ")], "a string, b string")
+    listed = df.select(*[T.tokens(F.col(c)).alias(c) for c in "ab"])
+    out = ["source_tokens", "target_tokens", "n_source", "n_target"]
+    assert X.tokenize_pair(listed, "a", "b", 4).select(out).collect() == X.tokenize_pair(df, "a", "b", 4).select(out).collect()
+
+
+def test_words_without_separators_at_either_end(spark):
+    df = spark.createDataFrame([(" -a b- ",), ("--",), ("",), (None,), ("É1,é",)], "t string")
+    got = [r[0] for r in df.select(T.tokens(F.col("t"))).collect()]
+    assert got == [["a", "b"], [], [], [], ["é1", "é"]]
