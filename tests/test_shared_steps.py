@@ -41,3 +41,15 @@ def test_pairs_are_not_cut_into_words_again(spark, folder, monkeypatch):
     plan = Q.tokenize_pair(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Window", 1)
     assert T.NOT_A_WORD not in above and T.NOT_A_WORD in below
+
+
+def test_probabilities_are_not_worked_out_where_only_labels_are_asked_for(spark, folder, monkeypatch):
+    """Pairs are filtered and rounded before they are mirrored, and both directions come out."""
+    _tables(spark, folder)
+    args = Q._split_sentences(spark, folder).withColumnRenamed("sent_idx", "arg_idx").selectExpr("*", "arg_idx AS sent_idx")
+    monkeypatch.setattr(Q, "_args", lambda *_: args.where("doc_id < 4"))
+    found, every = Q.filter_relations(spark, folder), Q.classify_relations(spark, folder)
+    assert "EXP(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {tuple(r) for r in every.select("doc_id", "source", "target", "type").collect()}
+    assert rows and rows == {(d, b, a, kind) for d, a, b, kind in rows}
+    assert {tuple(r) for r in found.collect()} == {r for r in rows if r[3] not in Q.L.NULL_RELATIONS}
