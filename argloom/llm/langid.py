@@ -11,6 +11,7 @@ feature vector.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -26,6 +27,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 BLOCK = 1 << 18
+_BUCKET, _SHARE = np.dtype(">u2"), np.dtype(">f4")
 # ISO 639 codes by family. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fo", "fy", "lb", "yi"],
@@ -106,6 +108,12 @@ class Features:
         return np.stack(columns, axis=1), np.stack(counts, axis=1), at, np.diff(n_letters[at])
 
 
+def _wide(x: np.ndarray, columns: int = 1024) -> Iterator[np.ndarray]:
+    """The columns of ``x`` as doubles, a few at a time: the sample is never held a second time."""
+    for at in range(0, x.shape[1], columns):
+        yield x[:, at : at + columns].astype(np.float64)
+
+
 def _train_svm(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge) with a bias as last entry.
 
@@ -114,7 +122,9 @@ def _train_svm(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e
     The result does not depend on the order of rows. Classes count alike,
     however many rows each has.
     """
-    products = x.astype(np.float64) @ x.T + 1.0  # the 1 is the bias, a feature that all rows share
+    products = np.ones((len(y), len(y)))  # the 1 is the bias, a feature that all rows share
+    for part in _wide(x):
+        products += part @ part.T
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     factors = np.zeros(len(y))
     speed = np.zeros(len(y))
@@ -123,7 +133,7 @@ def _train_svm(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e
         slack = np.maximum(0, 1 - y * (products @ factors))
         speed = 0.9 * speed - step * (ridge * factors - 2 * weight * y * slack)
         factors = factors + speed
-    return np.append(x.T @ factors, factors.sum())
+    return np.concatenate([*[part.T @ factors for part in _wide(x)], [factors.sum()]])
 
 
 @dataclass
@@ -190,7 +200,10 @@ class LanguageModel:
 
 
 def _shares(df: DataFrame) -> DataFrame:
-    """``lang, buckets, shares`` of each row of ``lang, text``: a text's n-grams by bucket."""
+    """``lang, buckets, shares`` of each row of ``lang, text``: a text's n-grams by bucket.
+
+    Both are arrays of numbers as bytes, six for each bucket, that sort as the numbers do.
+    """
 
     def run(batches):
         for batch in batches:
@@ -200,12 +213,12 @@ def _shares(df: DataFrame) -> DataFrame:
                 own = data[bounds[row] : bounds[row + 1]]
                 buckets, counted, _, _ = Features.of(own, np.array([0, len(own)]))
                 own, n = np.unique(buckets[counted], return_counts=True)
-                found.append(own)
-                shares.append(n / max(1, n.sum()))
-            columns = [batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))]
+                found.append(own.astype(_BUCKET).tobytes())
+                shares.append((n / max(1, n.sum())).astype(_SHARE).tobytes())
+            columns = [batch.column(0), pa.array(found, pa.binary()), pa.array(shares, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "buckets", "shares"])
 
-    return df.select("lang", "text").mapInArrow(run, "lang string, buckets array<bigint>, shares array<double>")
+    return df.select("lang", "text").mapInArrow(run, "lang string, buckets binary, shares binary")
 
 
 def fit(
@@ -239,10 +252,11 @@ def fit(
         return LanguageModel([], {}, [], np.zeros((BUCKETS, 0)), np.zeros(0))
     x = np.zeros((len(sample), BUCKETS), dtype=np.float32)
     for row, (_, buckets, shares) in enumerate(sample):
-        x[row, buckets] = shares
+        x[row, np.frombuffer(buckets, _BUCKET).astype(np.int64)] = np.frombuffer(shares, _SHARE)
+    sample.clear()
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
-    factor = 1.0 / (float(np.sqrt((x**2).sum(axis=1)).mean()) or 1.0)
+    factor = 1.0 / (float(np.sqrt([(row**2).sum() for row in x]).mean()) or 1.0)
     x *= factor
     family = np.array([family_of(lang) for lang in own])
     machines = [np.zeros(BUCKETS + 1)]

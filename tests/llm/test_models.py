@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -56,6 +57,39 @@ def test_one_language_and_none(spark):
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_training_holds_its_sample_once():
+    """Beside the sample only a part of it is there as doubles, and the machine is that of the whole sample."""
+    rng = np.random.default_rng(1)
+    x = rng.random((120, langid.BUCKETS), dtype=np.float32) / 100
+    y = np.where(np.arange(120) % 3 == 0, 1.0, -1.0).astype(np.float32)
+    tracemalloc.start()
+    got = langid._train_svm(x, y, steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    wide = x.astype(np.float64)
+    assert np.allclose(got[:-1] @ wide.T + got[-1], (wide @ wide.T + 1) @ _factors(wide, y, 20), rtol=1e-9)
+
+
+def _factors(x, y, steps, ridge=1e-4):
+    products = x @ x.T + 1
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    factors, speed = np.zeros(len(y)), np.zeros(len(y))
+    step = 1 / (2 * (weight * np.diag(products)).sum() + ridge)
+    for _ in range(steps):
+        speed = 0.9 * speed - step * (ridge * factors - 2 * weight * y * np.maximum(0, 1 - y * (products @ factors)))
+        factors = factors + speed
+    return factors
+
+
+def test_sample_comes_as_bytes(spark):
+    """Six bytes for each bucket of a text, which sort as the numbers do."""
+    row = langid._shares(spark.createDataFrame([("en", "ab ab")], "lang string, text string")).first()
+    buckets, shares = np.frombuffer(row["buckets"], ">u2"), np.frombuffer(row["shares"], ">f4")
+    assert len(buckets) == len(shares) and list(buckets) == sorted(set(buckets))
+    assert abs(shares.sum() - 1) < 1e-6
+
+
 def test_language_of_awkward_rows(awkward, nothing):
     rows = langid.language_id(awkward).collect()
     assert len(rows) == len(ROWS)
