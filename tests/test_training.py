@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from argloom.operators import evaluate as E, sampling as S, training as M
+from argloom.operators import evaluate as E, sampling as S, text as X, training as M
 from argloom.plans.train import train_detector
 
 
@@ -165,3 +165,25 @@ def test_stack_tables_by_name(spark):
     b = spark.createDataFrame([("y", 2)], "b STRING, a INT")
     c = spark.createDataFrame([(3,)], "a INT")
     assert sorted((r.a, r.b or "") for r in M.stack_tables([a, b, c]).collect()) == [(1, "x"), (2, "y"), (3, "")]
+
+
+def test_words_are_counted_once_for_all_settings(spark, monkeypatch):
+    """Two settings share the vocabulary and its weights; every trained model is that of a pipeline by itself."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    rows = [("good good old tree", 1), ("a good day", 1), ("bad old day", 0), ("bad bad bad", 0), ("", 1), (None, 0)] * 3
+    train = spark.createDataFrame(rows, "sentence STRING, label INT")
+    calls = []
+    real = M.CountVectorizer.fit
+    monkeypatch.setattr(M.CountVectorizer, "fit", lambda self, df: calls.append(1) or real(self, df))
+    model, trials = M.train_classifier(train, train.limit(9), reg_params=(0.01, 0.1))
+    assert len(calls) == 1 and trials.count() == 2
+    stages = [CountVectorizer(inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="label", regParam=0.01, maxIter=20)]
+    words = X.tokenize(train, "sentence")
+    want = Pipeline(stages=stages).fit(words).transform(words).select("sentence", "probability").collect()
+    alone = M.train_classifier(train, reg_params=(0.01,))[0].transform(words).select("sentence", "probability").collect()
+    assert sorted((r[0] or "", round(r[1][1], 6)) for r in want) == sorted((r[0] or "", round(r[1][1], 6)) for r in alone)
+    assert set(model.stages[0].vocabulary) == {"good", "old", "tree", "a", "day", "bad"}
+    assert len(model.stages) == 3 and model.stages[-1].summary.totalIterations >= 1
