@@ -1,0 +1,106 @@
+"""Training and relating with whole arrays: the same results as word by word and pair by pair."""
+
+import random
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from argloom.catalog import queries as Q
+from argloom.functions import gradient as A, linear as N
+from argloom.operators import documents as D, pairs as R, relations as L, rounds as G, scoring as C, text as X
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _sorted(df):
+    return sorted(df.collect(), key=repr)
+
+
+def _odd(spark):
+    """Rows of several parts, with null and empty lists, a null label, null features and a null part."""
+    rng = random.Random(3)
+    rows = [("train" if i % 3 else "val", i % 3, [rng.choice("abcdef") for _ in range(rng.randrange(9))], rng.choice([None, 7, 2000])) for i in range(90)]
+    rows += [("train", 1, None, 3), ("val", 2, None, None), ("train", 0, [], 5), (None, 1, ["a"], 1), ("other", 1, ["a"], 1), ("train", None, ["a", "z"], 4)]
+    return spark.createDataFrame(rows, "part string, label int, tokens array<string>, gap bigint").repartition(3)
+
+
+def test_sums_come_without_a_row_for_every_word(spark, monkeypatch):
+    """Sums of a row by row reckoning, also where values are missing and a run holds a few words only."""
+    monkeypatch.setattr(N, "MOST", 20)
+    df = _odd(spark)
+    weights = spark.createDataFrame([("a", 300_000, -5, 0), ("c", 0, 70_000, 9), (G.BIAS, 1, 20_000, 3), ("\x01gap", 4, 0, 50_000)], "token string, w0 long, w1 long, w2 long")
+    found = G._pass(df, weights, 3, ["gap"])
+    assert "Generate" not in _plan(found)
+    table = {r.token: [r.w0, r.w1, r.w2] for r in weights.collect()}
+    want = {}
+    for part, label, tokens, gap in df.collect():
+        if part == "train" and tokens is None:
+            continue
+        items = [(t, 1000) for t in tokens or ()] + [(G.BIAS, 1000), ("\x01gap", gap)]
+        known = label is not None and gap is not None
+        if known:
+            z = [sum(table.get(t, [0] * 3)[c] * x for t, x in items) / 1e9 for c in range(3)]
+            e = [float(A.np.exp(v - max(z))) for v in z]
+            off = [int(A.half_up(A.np.array(((label == c) - e[c] / (e[0] + e[1] + e[2])) * 1e6))) for c in range(3)]
+            loss = int(A.half_up(A.np.array((A.np.log(e[0] + e[1] + e[2]) - (z[label] - max(z))) * 1e6)))
+        for token, x in items if part == "train" else [(G.BIAS, 1000)]:
+            sums = want.setdefault((part, token), [None] * 5 + [0])
+            add = [o * x for o in off] if known else [None] * 3
+            add += [x, loss if known and token == G.BIAS else None]
+            sums[:5] = [s if a is None else (s or 0) + a for s, a in zip(sums, add)]
+            sums[5] += 1
+    assert {(r.part, r.token): [r.g0, r.g1, r.g2, r.total, r.loss, r.rows] for r in found.collect()} == want
+
+
+def test_hashes_teach_what_words_do(spark):
+    df = _odd(spark).where("label IS NOT NULL").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    names = G.word_names(df)
+    hashed = G.hash_words(df).drop("tokens").withColumnRenamed("hashes", "tokens")
+    plain = G.train_rounds(df, 3, rounds=3, patience=9, features=["gap"], text=None)
+    found = G.train_rounds(hashed, 3, rounds=3, patience=9, features=["gap"], text=None, names=names)
+    assert _sorted(found.history) == _sorted(plain.history) and found.best == plain.best
+    assert _sorted(found.weights.select(plain.weights.columns)) == _sorted(plain.weights) and plain.weights.count() > 6
+    assert found.special() == plain.special() and any(found.special()["gap"])
+
+
+def test_tables_of_several_classes_are_the_same_broadcast_and_shared(spark):
+    rows = [(f"w{i}", i, -i, 7 * i) for i in range(500)]
+    df = spark.createDataFrame(rows, "token string, w0 long, w1 long, w2 long")
+    asked = N.word_hashes(["w3", "none", "w499", "w0", "w3"])
+    want = [[3, -3, 21], [0, 0, 0], [499, -499, 3493], [0, 0, 0], [3, -3, 21]]
+    for table in (df, df.select(N.list_hashes()(F.array("token"))[0].alias("hash"), "w0", "w1", "w2")):
+        whole, shared = (C.class_table(table, ["w0", "w1", "w2"], most) for most in (1 << 20, 4000))
+        assert isinstance(whole, N.BroadcastTable) and len(shared.files) > 1
+        assert whole.find(asked).tolist() == shared.find(asked).tolist() == want
+
+
+def test_runs_are_bounded_by_words_and_keep_every_row(monkeypatch):
+    monkeypatch.setattr(N, "MOST", 10)
+    sizes = [0, 3, 25, 4, 4, 0, 4, 1, 9, 2]
+    batch = pa.RecordBatch.from_pydict({"tokens": [["x"] * n for n in sizes]})
+    found = [[len(row) for row in run.column("tokens").to_pylist()] for run in A.runs(iter([batch, batch]), "tokens")]
+    assert [n for run in found for n in run] == sizes * 2
+    assert all(sum(run) <= 10 or [n for n in run if n] == [25] for run in found)
+
+
+def test_labels_meet_sentences_not_pairs(spark, folder, monkeypatch):
+    """The pairs that joining labels to all pairs would give, repeated and missing labels included; none is joined."""
+    text = "First one is not here. Then another! Is it so? Yes, it is. The end of all."
+    docs = [(i, None if i == 3 else f"{text} Number {i} of them.") for i in (0, 1, 2, 3, 4, 5, 18, 19, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    marks = [(0, 0, 1), (1, 1, 0), (2, None, None), (4, 1, 1), (4, 0, 0), (4, 0, 0), (18, 1, None), (19, 0, 0), (None, 1, 1), (77, 1, 1)]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    detector = C.LinearModel(spark.createDataFrame([("it", 5), ("number", -7)], "token string, weight bigint"), 1)
+    monkeypatch.setattr(Q, "_detector", lambda *_: detector)
+    label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(0)
+    near = R.windowed_pairs(Q._args(spark, folder), "doc_id", window=2, ordered=False).join(Q._labels(spark, folder), "doc_id")
+    want = L.pair_items(near.select("source", "target", "source_text", "target_text", label.alias("label"), Q._split().alias("part")))
+    want = want.drop("source_text", "target_text").withColumn("tokens", N.list_hashes()(F.col("tokens")))
+    pairs = Q._labelled_pairs(spark, folder)
+    found = L.pair_items(pairs).select(want.columns)
+    assert _sorted(found) == _sorted(want) and found.count() > 20
+    assert "Join" not in _plan(pairs).split("Window")[0]
+    names = {r.token: r.hash for r in G.word_names(Q._labelled_arguments(spark, folder), "named").collect()}
+    assert names and list(names.values()) == N.word_hashes(list(names)).tolist()
