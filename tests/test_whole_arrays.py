@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from argloom.catalog import queries as Q
-from argloom.functions import gradient as A, linear as N
+from argloom.functions import gradient as A, linear as N, probability as P
 from argloom.operators import documents as D, pairs as R, relations as L, rounds as G, scoring as C, text as X
 
 
@@ -28,7 +28,7 @@ def _odd(spark):
 
 def test_sums_come_without_a_row_for_every_word(spark, monkeypatch):
     """Sums of a row by row reckoning, also where values are missing and a run holds a few words only."""
-    monkeypatch.setattr(N, "MOST", 20)
+    monkeypatch.setattr(A, "RUN", 20)
     df = _odd(spark)
     weights = spark.createDataFrame([("a", 300_000, -5, 0), ("c", 0, 70_000, 9), (G.BIAS, 1, 20_000, 3), ("\x01gap", 4, 0, 50_000)], "token string, w0 long, w1 long, w2 long")
     found = G._pass(df, weights, 3, ["gap"])
@@ -77,7 +77,7 @@ def test_tables_of_several_classes_are_the_same_broadcast_and_shared(spark):
 
 
 def test_runs_are_bounded_by_words_and_keep_every_row(monkeypatch):
-    monkeypatch.setattr(N, "MOST", 10)
+    monkeypatch.setattr(A, "RUN", 10)
     sizes = [0, 3, 25, 4, 4, 0, 4, 1, 9, 2]
     batch = pa.RecordBatch.from_pydict({"tokens": [["x"] * n for n in sizes]})
     found = [[len(row) for row in run.column("tokens").to_pylist()] for run in A.runs(iter([batch, batch]), "tokens")]
@@ -104,3 +104,33 @@ def test_labels_meet_sentences_not_pairs(spark, folder, monkeypatch):
     assert "Join" not in _plan(pairs).split("Window")[0]
     names = {r.token: r.hash for r in G.word_names(Q._labelled_arguments(spark, folder), "named").collect()}
     assert names and list(names.values()) == N.word_hashes(list(names)).tolist()
+
+
+def test_a_fitted_model_compares_no_lists(spark):
+    """All pairs of a document are related in the task that looks its words up; missing documents stay missing."""
+    words = L.RelationModel(labels=("none", "attack"), weights=((1.0, 0.5, 0.0, 0.0), (0.0, 2.0, 0.25, 1.0)), bias=(0.0, 0.5), words=tuple(
+        C.LinearModel(spark.createDataFrame([("sky", 10 * c), ("not", 500_000 * c)], "token string, weight bigint")) for c in range(2)))
+    rows = [(1, "The sky is blue. It is not so. Rain falls on us. We act."), (2, ""), (3, None)]
+    docs = X.nest_sentences(spark.createDataFrame(rows, "id int, t string"), "t")
+    docs = docs.withColumn("sentences", F.when(F.col("id") != 3, F.col("sentences")))
+    flags = F.transform("sentences", lambda s, i: s.withField("is_arg", F.struct((i != 2).alias("pred"))))
+    related = D.relate_nested(docs.withColumn("sentences", flags), words, 2)
+    assert "array_intersect" not in _plan(related)
+    found = {r.id: r.relations for r in related.collect()}
+    assert found[2] == [] and found[3] is None
+    sentences = rows[0][1].split(". ")
+    flat = spark.createDataFrame([(1, a, s.rstrip(".") + ".", a, i) for a, (i, s) in enumerate((i, s) for i, s in enumerate(sentences) if i != 2)], "id int, arg_idx int, text string, n int, sent_idx int")
+    want = L.filter_relations(L.classify_relations(R.windowed_pairs(flat, "id", 2), words)).collect()
+    assert want and sorted((e.source, e.target, e.source_sent, e.target_sent, e.type, round(e.prob, 9)) for e in found[1]) == sorted(
+        (e.source, e.target, e.source_sent, e.target_sent, e.type, round(e.prob, 9)) for e in want)
+
+
+def test_probabilities_are_rounded_as_by_decimals(spark):
+    rng = random.Random(6)
+    values = [None, 0.0, 1.0, 0.5, 5e-7, 1.5e-6, 0.0000005, 0.1234565, 0.9999995, 0.99999949999, 2.5, -0.25, float("nan"), 1e-320]
+    values += [rng.random() for _ in range(20_000)] + [(2 * rng.randrange(10**6) + 1) / 2e6 for _ in range(20_000)]
+    values += [float(A.np.nextafter(v, rng.choice([0.0, 1.0]))) for v in values[-2000:]]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    assert df.where(~P.rounded(F.col("p")).eqNullSafe(F.round("p", 6))).count() == 0
+    plan = _plan(df.select(P.rounded(F.col("p"))))
+    assert "floor" in plan.lower()
